@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, session
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import encoder, grouped
 
 #: Parts that a length class is ranked in; the largest class is spread over all of them.
 RANK_PARTS = 256
@@ -27,17 +27,16 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
     Returns doc_id, piece, start, length, ids_crc32.
     """
     session(docs)
-    end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in grouped(batches):
+            ids, borders = enc.encode_ended(batch.column(1), end_id)
+            raw = memoryview(ids.astype("<u4").tobytes())
             rows: list[tuple] = []
-            for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                raw += end
-                n = len(raw) // 4
+            for doc, at, n in zip(batch.column(0).to_pylist(), borders.tolist(), np.diff(borders).tolist(), strict=False):
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+                rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * (at + a) : 4 * (at + b)])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, partitions, session
-from tidemark.llm.tokens import encoder
+from tidemark.llm.tokens import encoder, grouped
 
 #: A segment ends with the first document that fills it to so many ids.
 SEGMENT_IDS = 1 << 14
@@ -107,7 +107,6 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows that repeat an id are all written, ordered by their text's hash.
     """
     spark = session(docs)
-    end = int(end_id).to_bytes(4, "little")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -115,17 +114,18 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         shard, seq, first, ids, raws, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def segment() -> dict:
-            bounds = np.cumsum([0, *(len(r) // 4 for r in raws)])
-            flat = np.frombuffer(b"".join(raws), "<u4").astype("<u2" if width == 2 else "<u4").tobytes()
+            bounds = np.cumsum([0, *(len(r) for r in raws)])
+            flat = np.concatenate(raws).astype("<u2" if width == 2 else "<u4").tobytes()
             return {"shard": shard, "seq": seq, "first": first, "n_docs": len(ids), "n_ids": size, "width": width, "ids": flat, "bounds": ef_encode(bounds), "doc_ids": ids}
 
         schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
-        for batch in batches:
+        for batch in grouped(batches):
             done = []
-            for doc, raw in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            flat, borders = enc.encode_ended(batch.column(1), end_id)
+            for doc, a, b in zip(batch.column(0).to_pylist(), borders.tolist(), borders[1:].tolist(), strict=False):
                 ids.append(doc)
-                raws.append(raw + end)
-                size += len(raw) // 4 + 1
+                raws.append(flat[a:b])
+                size += b - a
                 if size >= SEGMENT_IDS:
                     done.append(segment())
                     seq, first, ids, raws, size = seq + 1, first + size, [], [], 0

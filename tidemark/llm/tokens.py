@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct words a worker remembers (about 250 bytes each); beyond it the memory starts afresh.
-MAX_WORDS = 400_000
+#: Distinct words a worker remembers (about 250 bytes each); beyond it the longer half is forgotten.
+MAX_WORDS = 1_000_000
+#: Bytes of text encoded at a time.
+GROUP_BYTES = 8 << 20
 #: Unseen words encoded in one call.
 _JOIN = 512
 
@@ -56,32 +62,68 @@ class WordEncoder:
             else:
                 known.update(zip(group, self._whole([" " + w for w in group]), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        parts = [(t or "").split(" ") for t in texts]
-        if len(self._known) > MAX_WORDS:
-            self._known = {}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array, one text after the other, and the ``len(texts) + 1`` borders.
+
+        Null counts as empty. Splitting, counting distinct words and laying out
+        their ids are array operations; Python sees each distinct word once.
+        """
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        first = split.offsets.to_numpy().astype(np.int64)
+        first, words = first - first[0], split.flatten()
+        coded = words.dictionary_encode()
+        place, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        if len(self._known) > MAX_WORDS:  # long words are rare words
+            middle = np.median([len(w) for w in self._known])
+            self._known = {w: raw for w, raw in self._known.items() if len(w) < middle}
         known = self._known
-        fresh = {w for p in parts for w in p[1:] if w not in known}
-        if fresh:
-            self._learn(list(fresh))
-        heads = self._whole([p[0] for p in parts])
-        out, odd = [b""] * len(parts), []
-        look = known.__getitem__
-        for i, p in enumerate(parts):
-            if len(p) == 1:
-                out[i] = heads[i]
-            elif not p[0] or p[0][-1].isspace():
-                odd.append(i)
-            else:
-                try:
-                    out[i] = heads[i] + b"".join(map(look, p[1:]))
-                except TypeError:  # a part that is empty or touches other white space
-                    odd.append(i)
-        if odd:
-            for i, raw in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-                out[i] = raw
-        return out
+        heads = pc.take(words, pa.array(first[:-1])).to_pylist()
+        later = np.zeros(len(vocabulary), dtype=bool)
+        inner = np.ones(len(place), dtype=bool)
+        inner[first[:-1]] = False
+        later[place[inner]] = True
+        if fresh := [w for w, used in zip(vocabulary, later.tolist(), strict=True) if used and w not in known]:
+            self._learn(fresh)
+        parts = [known[w] if used else b"" for w, used in zip(vocabulary, later.tolist(), strict=True)]
+        odd_word = np.array([raw is None for raw in parts], dtype=bool)
+        odd = np.zeros(len(texts), dtype=bool)
+        if odd_word.any():
+            odd[np.searchsorted(first, np.flatnonzero(odd_word[place] & inner), side="right") - 1] = True
+        several = np.diff(first) > 1
+        odd |= several & np.array([not h or h[-1].isspace() for h in heads], dtype=bool)
+        if odd.any():
+            place[np.repeat(odd, np.diff(first))] = len(parts) + len(heads)
+            for i in np.flatnonzero(odd).tolist():
+                heads[i] = texts[i].as_py()
+        place[first[:-1]] = len(parts) + np.arange(len(heads))
+        table = [raw or b"" for raw in parts] + self._whole(heads) + [b""]
+        length = np.array([len(raw) for raw in table], dtype=np.int64) // 4
+        flat, start = np.frombuffer(b"".join(table), "<u4"), np.cumsum(length) - length
+        n = length[place]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(start[place] - end + n, n) + np.arange(int(n.sum()))]
+        return ids, np.concatenate([[0], end])[first]
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, with ``end_id`` after each text."""
+        ids, edges = self.encode(texts)
+        return np.insert(ids, edges[1:], end_id), edges + np.arange(len(edges))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join Arrow batches until column ``text`` holds ``size`` bytes: larger groups repeat more words."""
+    held: list[pa.RecordBatch] = []
+    filled = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            filled += pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if filled >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, filled = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
