@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, session
@@ -128,7 +129,7 @@ def format_trees(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
     ignored. A conversation is one string, so its turns meet in one row; nothing
     else is gathered. An empty table gives an empty result.
     """
-    spark = session(nodes)
+    session(nodes)
     nodes = nodes.select("tree", "node", "parent", "score", "role", "text")
     paths = ranked_paths(nodes, scratch, keep)
     turns = paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
@@ -144,10 +145,28 @@ def format_trees(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
 
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     schema = pa.schema([("tree", pa.int64()), ("rank", pa.int32()), ("n_turns", pa.int32()), ("formatted", pa.string()), ("loss_spans", pa.list_(span))])
-    _ = spark
     return whole.select("tree", "rank", "turns").mapInArrow(form, "tree long, rank int, n_turns int, formatted string, loss_spans array<struct<start: int, end: int>>")
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, still escaped."""
-    return F.concat_ws("", F.transform(spans, lambda s: F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
+def digests(formatted: DataFrame) -> DataFrame:
+    """Read formatted conversations back: one row each.
+
+    conv_id, n_turns, turns_sha256 (of role, newline, text, newline per turn),
+    loss_chars and loss_sha256 (of all unescaped text under the loss mask),
+    formatted_chars. Everything is taken from the formatted string and its mask.
+    """
+    session(formatted)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tree, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                turns = parse(text)
+                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
+                whole = "".join(f"{role}\n{body}\n" for role, body in turns)
+                rows.append((tree, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return formatted.select("tree", "formatted", "loss_spans").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
