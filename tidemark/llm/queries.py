@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, language_id, mixing, mixing_sql, url_filter
+from tidemark.llm import chat, html_extract, language_id, mixing, mixing_sql, url_filter
 from tidemark.llm.common import Scratch, table
 from tidemark.llm.exact_dedup import duplicate_groups
 from tidemark.llm.near_dedup import near_duplicate_classes
@@ -49,6 +49,11 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the token store and back; id 0 ends each document."""
     path = new_store_path(spark)
@@ -94,6 +99,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_store": op7_token_store,
     "op8_url_filter": op8_url_filter,
     "op9_chat_format": op9_chat_format,
