@@ -298,6 +298,19 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     )
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class, with their own columns.
+
+    Rows with a null id stay. Rows that repeat an id stay or go together. The
+    dropped ids are broadcast while there are at most ``BROADCAST_IDS``; beyond
+    it the anti join shuffles.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup-drop")
+    gone = scratch.put(near_duplicate_classes(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(some, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Near enough pairs (a, b) of different components in buckets of more than two members."""
     spark, cut = session(inside), estimate_cut(percent / 100)

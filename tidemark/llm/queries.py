@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, html_extract, language_id, mixing, mixing_sql, url_filter
+from tidemark.llm import chat, html_extract, language_id, mixing, mixing_sql, pivot_index, url_filter
 from tidemark.llm.common import Scratch, table
 from tidemark.llm.exact_dedup import duplicate_groups
 from tidemark.llm.near_dedup import near_duplicate_classes
@@ -25,6 +25,21 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = mixing_sql.mixture_sql("documents", mixing_sql.DOCUMENT_LEVELS_SQL, mixing.DOCUMENT_WEIGHTS, 2, 17)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every 50th vector with all others."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pivot_index.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, factor=256)
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -96,6 +111,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_exact_topk": op2_exact_topk,
     "op3_language_id": op3_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
@@ -105,4 +121,4 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLE_SQL = {"op1_source_mixing": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_source_mixing": OP1_SQL, "op2_exact_topk": OP2_SQL, "op5_exact_dedup": OP5_SQL}
