@@ -154,13 +154,15 @@ def fit(texts_grams: Mapping[str, list[tuple[np.ndarray, np.ndarray]]], families
     for lang in langs:
         tree.setdefault(of[lang], []).append(lang)
     rows = [(lang, b, c) for lang in langs for b, c in texts_grams[lang]]
+    if not rows:
+        return Model({}, [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     x = np.zeros((len(rows), BUCKETS), dtype=np.float32)
     for i, (_, b, c) in enumerate(rows):
         x[i, b] = c / max(1, c.sum())
     # grams are weighed by their spread, then all rows brought to a length of about one
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
     x *= scale
-    size = float(np.sqrt((x * x).sum(axis=1).mean())) if len(rows) else 1.0
+    size = float(np.sqrt((x * x).sum(axis=1).mean()))
     x *= np.float32(1 / size)
     name = np.array([r[0] for r in rows])
     group = np.array([of[r[0]] for r in rows])

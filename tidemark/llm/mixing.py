@@ -24,7 +24,7 @@ def token_count(text: Column) -> Column:
 
 
 def _shares(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
-    """Split each parent's ``budget`` over its children by weight ``w``, within supplies ``s``.
+    """Split each parent's ``budget`` over its children by weight ``_w``, within supplies ``_s``.
 
     A child whose supply falls short of its share gives all it has; what is
     missing goes to its siblings by weight, over and over. With the children in
@@ -34,19 +34,19 @@ def _shares(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
     """
     dec = "decimal(38,0)"
     siblings = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = siblings.orderBy(F.col("s").cast("double") / F.col("w"), name).rowsBetween(Window.unboundedPreceding, -1)
-    held = nodes.withColumn("s_before", F.coalesce(F.sum("s").over(order), F.lit(0)).cast(dec))
-    held = held.withColumn("w_left", F.sum("w").over(siblings).cast(dec) - F.coalesce(F.sum("w").over(order), F.lit(0)).cast(dec))
-    short = F.col("s").cast(dec) * F.col("w_left") <= F.col("w").cast(dec) * (F.col("budget").cast(dec) - F.col("s_before"))
-    held = held.withColumn("short", short)
-    held = held.withColumn("rest", F.col("budget") - F.sum(F.when(F.col("short"), F.col("s")).otherwise(0)).over(siblings))
-    held = held.withColumn("rest_w", F.sum(F.when(F.col("short"), 0).otherwise(F.col("w"))).over(siblings))
-    part = F.expr("cast((cast(w as decimal(38,0)) * cast(rest as decimal(38,0))) div cast(rest_w as decimal(38,0)) as bigint)")
-    held = held.withColumn("part", F.when(~F.col("short"), part).otherwise(F.lit(0)).cast("long"))
-    held = held.withColumn("over", F.col("rest") - F.sum("part").over(siblings))
-    held = held.withColumn("place", F.row_number().over(siblings.orderBy("short", name)))
-    given = F.when(F.col("short"), F.col("s")).otherwise(F.col("part") + F.when(F.col("place") <= F.col("over"), 1).otherwise(0))
-    return held.withColumn("budget", given.cast("long")).drop("s_before", "w_left", "short", "rest", "rest_w", "part", "over", "place")
+    order = siblings.orderBy(F.col("_s").cast("double") / F.col("_w"), name).rowsBetween(Window.unboundedPreceding, -1)
+    held = nodes.withColumn("_s_before", F.coalesce(F.sum("_s").over(order), F.lit(0)).cast(dec))
+    held = held.withColumn("_w_left", F.sum("_w").over(siblings).cast(dec) - F.coalesce(F.sum("_w").over(order), F.lit(0)).cast(dec))
+    short = F.col("_s").cast(dec) * F.col("_w_left") <= F.col("_w").cast(dec) * (F.col("budget").cast(dec) - F.col("_s_before"))
+    held = held.withColumn("_short", short)
+    held = held.withColumn("_rest", F.col("budget") - F.sum(F.when(F.col("_short"), F.col("_s")).otherwise(0)).over(siblings))
+    held = held.withColumn("_rest_w", F.sum(F.when(F.col("_short"), 0).otherwise(F.col("_w"))).over(siblings))
+    part = F.expr("cast((cast(_w as decimal(38,0)) * cast(_rest as decimal(38,0))) div cast(_rest_w as decimal(38,0)) as bigint)")
+    held = held.withColumn("_part", F.when(~F.col("_short"), part).otherwise(F.lit(0)).cast("long"))
+    held = held.withColumn("_over", F.col("_rest") - F.sum("_part").over(siblings))
+    held = held.withColumn("_place", F.row_number().over(siblings.orderBy("_short", name)))
+    given = F.when(F.col("_short"), F.col("_s")).otherwise(F.col("_part") + F.when(F.col("_place") <= F.col("_over"), 1).otherwise(0))
+    return held.withColumn("budget", given.cast("long")).drop("_s_before", "_w_left", "_short", "_rest", "_rest_w", "_part", "_over", "_place")
 
 
 def _weight(levels: Sequence[str], weights: Mapping[tuple, int]) -> Column:
@@ -68,15 +68,15 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[tupl
     supply. From the root down, :func:`_shares` splits each node's budget, so a
     shortage is made up by siblings before it reaches the parent's siblings.
     ``weights`` maps paths (tuples of level values) to positive whole numbers;
-    paths that aren't named weigh 1. Adds s, w, budget.
+    paths that aren't named weigh 1. Adds _s (supply), _w (weight), budget.
     """
     sums = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("root_tokens"))
-    tree = leaves.select(*levels, "tokens", (F.col("tokens") * max_epochs).alias("leaf_s"))
+    tree = leaves.select(*levels, "tokens", (F.col("tokens") * max_epochs).alias("_leaf_s"))
     whole = sums.select(F.least(F.lit(total) if total is not None else F.col("root_tokens"), F.col("root_tokens") * max_epochs).cast("long").alias("budget"))
     above = whole  # one row
     for k in range(1, len(levels) + 1):
         path = list(levels[:k])
-        nodes = tree.groupBy(*path).agg(F.sum("leaf_s").cast("long").alias("s")).withColumn("w", _weight(path, weights))
+        nodes = tree.groupBy(*path).agg(F.sum("_leaf_s").cast("long").alias("_s")).withColumn("_w", _weight(path, weights))
         nodes = nodes.crossJoin(F.broadcast(above)) if k == 1 else nodes.join(above.select(*path[:-1], "budget"), path[:-1])
         above = _shares(nodes, path[:-1], path[-1])
     return above.join(leaves.select(*levels, "tokens"), list(levels))
