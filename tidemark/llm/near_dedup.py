@@ -210,9 +210,9 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return close.mapInArrow(keep, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    ids = scratch.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
+def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``ids``: their full shingle sets, made anew from the texts."""
+    ids = scratch.put(ids, f"{name}-ids")
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = scratch.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles binary"), f"{name}-sets")
+    return scratch.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles binary"), f"{name}-sets")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity."""
+    sets = _sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, width, scratch, name)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +261,10 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
        the size bound, the collision-corrected estimate and then full sets.
     4. Confirmed links are merged to components. Buckets that still hold more
        than one component are the remainder: there, in blocks, all members of
-       different components are compared by sketch, and what is near enough is
-       verified too. So no link is lost to the hubs.
+       different components are compared by sketch, and the members that are
+       near enough to another meet again with their full sets. A block only
+       gives out the links that join components, never its pairs. So no link
+       between components is lost to the hubs.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id
     reachable, itself included), kept (doc_id = component_id). Documents without
@@ -281,12 +288,11 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     links = _verify(pairs, docs, width, percent, scratch, "hubs")
     component = scratch.put(connected_components(links, scratch, "hub-components"), "merged")
 
-    more = _remainder(inside, component, reps, percent).join(pairs, ["a", "b"], "left_anti")
-    rest = _verify(scratch.put(more, "rest"), docs, width, percent, scratch, "rest")
+    rest = _remainder(inside, component, reps, docs, width, percent, scratch)
     if not rest.isEmpty():
         joined = rest.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = scratch.put(connected_components(joined, scratch, "components"), "final")
-    scratch.drop("buckets", "pairs", "rest")
+    scratch.drop("buckets", "pairs")
 
     of_rep = reps.select("fingerprint", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("root"))
     least = sketch.select("doc_id", "n_shingles", "fingerprint").join(of_rep, "fingerprint", "left")
@@ -311,8 +317,52 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     return docs.join(some, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 
-def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Near enough pairs (a, b) of different components in buckets of more than two members."""
+_KEY = ["band", "value", "i", "j"]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one key after the other, from batches sorted by it."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _KEY], axis=1)
+            last = np.array([kept[0].column(c)[0].as_py() for c in _KEY]) if kept else keys[0]
+            same = (keys == last).all(axis=1)
+            end = len(same) if same.all() else int(np.argmin(same))
+            if end:
+                kept.append(batch.slice(0, end))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            batch = batch.slice(end)
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _near(rows: pa.Table, percent: int, cut: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row the others of its key that may be links: (row, rows, estimates).
+
+    They stand in the key's two blocks, in different components, are near
+    enough in size and by estimate, and share no earlier band: so a pair is met
+    in one key only.
+    """
+    band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+    block, root, n = (rows.column(c).to_numpy() for c in ("block", "root", "n"))
+    regs = _bands(rows.column("bands").combine_chunks())
+    bands = regs.view(np.int64)
+    for x in np.flatnonzero(block == i).tolist():
+        with_ = np.flatnonzero(block == j) if i != j else np.arange(x + 1, len(n))
+        low, high = np.minimum(n[x], n[with_]), np.maximum(n[x], n[with_])
+        with_ = with_[(root[with_] != root[x]) & (100 * low >= percent * high)]
+        with_ = with_[(bands[with_] == bands[x]).argmax(axis=1) == band] if len(with_) else with_
+        if len(with_):
+            near = estimate((regs[with_] == regs[x]).sum(axis=1), np.full(len(with_), n[x]), n[with_])
+            if (good := near >= cut).any():
+                yield x, with_[good], near[good]
+
+
+def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join different components in buckets of more than two members."""
     spark, cut = session(inside), estimate_cut(percent / 100)
     held = inside.where("size > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("band", "value", "size", "rep", F.coalesce("component", "rep").alias("root"))
     split = held.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value")
@@ -320,41 +370,47 @@ def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, percent
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = held.select("*", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "bands")
-    key = ["band", "value", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
-            i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-            block, rep, root, n = (rows.column(c).to_numpy() for c in ("block", "rep", "root", "n"))
-            regs = _bands(rows.column("bands").combine_chunks())
-            left = np.flatnonzero(block == i)
-            found: list[np.ndarray] = []
-            for x in left:
-                with_ = np.flatnonzero(block == j) if i != j else np.arange(x + 1, len(rep))
-                low, high = np.minimum(n[x], n[with_]), np.maximum(n[x], n[with_])
-                with_ = with_[(root[with_] != root[x]) & (100 * low >= percent * high)]
-                if len(with_):
-                    equal = (regs[with_] == regs[x]).sum(axis=1)
-                    with_ = with_[estimate(equal, np.full(len(with_), n[x]), n[with_]) >= cut]
-                    found.append(np.stack([np.minimum(rep[x], rep[with_]), np.maximum(rep[x], rep[with_])]))
-            both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
-
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            while batch.num_rows:
-                keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
-                last = np.array([kept[0].column(c)[0].as_py() for c in key]) if kept else keys[0]
-                same = (keys == last).all(axis=1)
-                end = len(same) if same.all() else int(np.argmin(same))
-                if end:
-                    kept.append(batch.slice(0, end))
-                if end < batch.num_rows:
-                    yield pairs(pa.Table.from_batches(kept))
-                    kept = []
-                batch = batch.slice(end)
-        if kept:
-            yield pairs(pa.Table.from_batches(kept))
-
-    dealt = placed.repartition(partitions(spark), *key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+        for rows in _by_key(batches):
+            hit = np.zeros(rows.num_rows, dtype=bool)
+            for x, with_, _ in _near(rows, percent, cut):
+                hit[x] = True
+                hit[with_] = True
+            if hit.any():
+                yield from rows.filter(pa.array(hit)).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches):
+            rep, root = rows.column("rep").to_numpy(), rows.column("root").to_numpy()
+            sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in rows.column("shingles")]
+            up: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (p := up.get(c, c)) != c:
+                    c = p
+                return c
+
+            found: list[tuple[int, int]] = []
+            for x, with_, near in _near(rows, percent, cut):
+                for y in with_[np.argsort(-near, kind="stable")].tolist():
+                    a, b = find(int(root[x])), find(int(root[y]))
+                    if a == b:
+                        continue
+                    place = np.searchsorted(sets[x], sets[y])
+                    place[place == len(sets[x])] = 0
+                    both = int((sets[x][place] == sets[y]).sum())
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        up[max(a, b)] = min(a, b)
+                        found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    parts = partitions(spark)
+    schema = "band int, value long, i int, j int, block int, rep long, root long, n long, bands array<long>"
+    dealt = placed.select(*[c.split()[0] for c in schema.split(", ")]).repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
+    hits = scratch.put(dealt.mapInArrow(compare, schema), "hits")
+    sets = _sets(hits.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "hits")
+    full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
+    links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
+    scratch.drop("hits", "hits-sets", "hits-ids")
+    return links
