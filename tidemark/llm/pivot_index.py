@@ -15,8 +15,10 @@ from tidemark.llm.common import Scratch, partitions, session
 PIVOTS, SAMPLE = 32, 4096
 #: Rings a pivot's distances are cut into, at most; the directory has PIVOTS * RINGS rows at most.
 RINGS = 64
-#: Vectors in a block of the index, and queries that visit a block together.
+#: Vectors in a block of the index (a ring should fill one), and queries that visit a block together.
 BLOCK, CHUNK = 512, 256
+#: Rows that one step of the visit plan gives out.
+VISITS = 1 << 14
 #: Annuli that a query visits in each round; later rounds take all that is left.
 ROUNDS = (2, 8, 32)
 #: Relative slack of the distance bounds against rounding.
@@ -30,6 +32,15 @@ def quantise(vectors: DataFrame, id_col: str, vector_col: str, factor: int) -> D
     return vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * F.lit(float(factor)))).alias("vector"))
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers as little-endian 32-bit integers, or 64-bit where one needs it."""
+    return x.astype("<i4" if not x.size or np.abs(x).max() < 1 << 31 else "<i8").tobytes()
+
+
+def _unpack(raw: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i4" if len(raw) == 4 * rows * width else "<i8").reshape(rows, width)
+
+
 def _lift(x: np.ndarray, top: float) -> np.ndarray:
     """One more component brings all vectors to length ``top``: then nearest means largest inner product."""
     rest = np.sqrt(np.maximum(0.0, top**2 - (x * x).sum(axis=1)))
@@ -78,14 +89,16 @@ class PivotIndex:
         self.vectors = vectors.where(F.size("vector") == self.width)
         sample = np.array([r["vector"] for r in some if len(r["vector"]) == self.width], dtype=np.float64).reshape(-1, max(1, self.width))
         length = self.vectors.select(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("n"))
-        self.top = float(np.sqrt(length.agg(F.max("n")).first()[0] or 0.0))
+        sizes = length.agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("n")).first()
+        self.top = float(np.sqrt(sizes["top"] or 0.0))
         self.empty = not len(sample)
         if self.empty:
             return
         self.pivots = _pivots(_lift(sample, self.top), PIVOTS)
         spread = _distances(_lift(sample, self.top), self.pivots).min(axis=1)
         # ring edges: distance quantiles of the sample, the same for all pivots; the last ring is open
-        self.edges = np.unique(np.quantile(spread, np.linspace(0, 1, RINGS + 1)[1:-1]))
+        rings = int(min(RINGS, max(1, sizes["n"] // (PIVOTS * BLOCK))))
+        self.edges = np.unique(np.quantile(spread, np.linspace(0, 1, rings + 1)[1:-1]))
         self.blocks = scratch.put(self._blocks(), "blocks")
         rows = self.blocks.groupBy("pivot", "ring").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).orderBy("pivot", "ring").collect()
         self.directory = np.array([[r["pivot"], r["ring"], r["low"], r["high"], r["n"]] for r in rows], dtype=np.float64)
@@ -112,7 +125,7 @@ class PivotIndex:
                 out = []
                 for a in range(0, len(ids), BLOCK):
                     b = slice(a, a + BLOCK)
-                    out.append({"pivot": pivot, "ring": ring, "low": float(dist[b].min()), "high": float(dist[b].max()), "n": len(ids[b]), "ids": ids[b].astype("<i8").tobytes(), "x": xs[b].astype("<i8").tobytes()})
+                    out.append({"pivot": pivot, "ring": ring, "low": float(dist[b].min()), "high": float(dist[b].max()), "n": len(ids[b]), "ids": ids[b].astype("<i8").tobytes(), "x": _pack(xs[b])})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
             schema = pa.schema([("pivot", pa.int32()), ("ring", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("n", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())])
@@ -159,24 +172,28 @@ class PivotIndex:
                 bound = np.maximum(0.0, np.maximum(directory[:, 2] - gap, gap - directory[:, 3]))
                 radius = np.sqrt(np.maximum(0.0, size + top**2 - 2 * floor)) + SLACK * (top + np.sqrt(size) + 1)
                 order = np.argsort(bound, axis=1, kind="stable")[:, seen:upto]
-                row = np.repeat(np.arange(len(x)), order.shape[1])
-                cell = order.ravel()
-                keep = bound[row, cell] <= radius[row]
-                row, cell = row[keep], cell[keep]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(directory[cell, 0], pa.float64()).cast(pa.int32()), pa.array(directory[cell, 1], pa.float64()).cast(pa.int32()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], names=["pivot", "ring", "query_id", "vector", "floor"])
+                packed = pa.array([_pack(v) for v in _matrix(batch.column(1), width)], pa.binary())
+                some = max(1, VISITS // max(1, order.shape[1]))
+                for a in range(0, len(x), some):
+                    row = np.repeat(np.arange(a, min(a + some, len(x))), order.shape[1])
+                    cell = order[a : a + some].ravel()
+                    keep = bound[row, cell] <= radius[row]
+                    row, cell = row[keep], cell[keep]
+                    take = pa.array(row, pa.int64())
+                    place = [pa.array(directory[cell, k].astype(np.int32)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*place, batch.column(0).take(take), packed.take(take), batch.column(2).take(take)], names=["pivot", "ring", "query_id", "x", "floor"])
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def chunk(rows: list[tuple]) -> dict:
-                (pivot, ring), xs = rows[0][0], np.array([r[2] for r in rows], dtype="<i8")
-                return {"pivot": pivot, "ring": ring, "queries": np.array([r[1] for r in rows], "<i8").tobytes(), "xs": xs.tobytes(), "floors": np.array([-(1 << 63) if r[3] is None else r[3] for r in rows], "<i8").tobytes()}
+                (pivot, ring), raws = rows[0][0], [r[2] for r in rows]
+                xs = b"".join(raws) if len({len(raw) for raw in raws}) == 1 else _pack(np.concatenate([_unpack(raw, 1, width) for raw in raws]))
+                return {"pivot": pivot, "ring": ring, "queries": np.array([r[1] for r in rows], "<i8").tobytes(), "xs": xs, "floors": np.array([-(1 << 63) if r[3] is None else r[3] for r in rows], "<i8").tobytes()}
 
             schema = pa.schema([("pivot", pa.int32()), ("ring", pa.int32()), ("queries", pa.binary()), ("xs", pa.binary()), ("floors", pa.binary())])
             held: list[tuple] = []
             for batch in batches:
                 out = []
-                xs = _matrix(batch.column(3), width) if batch.num_rows else []
-                for pivot, ring, query, x, floor in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), xs, batch.column(4).to_pylist(), strict=True):
+                for pivot, ring, query, x, floor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if held and (held[0][0] != (pivot, ring) or len(held) >= CHUNK):
                         out.append(chunk(held))
                         held = []
@@ -186,7 +203,7 @@ class PivotIndex:
             if held:
                 yield pa.RecordBatch.from_pylist([chunk(held)], schema)
 
-        planned = state.select("query_id", "vector", "floor").mapInArrow(plan, "pivot int, ring int, query_id long, vector array<long>, floor long")
+        planned = state.select("query_id", "vector", "floor").mapInArrow(plan, "pivot int, ring int, query_id long, x binary, floor long")
         dealt = planned.repartitionByRange(partitions(self.spark), "pivot", "ring", "query_id").sortWithinPartitions("pivot", "ring", "query_id")
         return dealt.mapInArrow(gather, "pivot int, ring int, queries binary, xs binary, floors binary")
 
@@ -198,7 +215,7 @@ class PivotIndex:
             for batch in batches:
                 for ids, x, queries, xs, floors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     ids, queries, floors = (np.frombuffer(raw, "<i8") for raw in (ids, queries, floors))
-                    x, xs = (np.frombuffer(raw, "<i8").reshape(-1, width) for raw in (x, xs))
+                    x, xs = _unpack(x, len(ids), width).astype(np.int64), _unpack(xs, len(queries), width).astype(np.int64)
                     largest = float(np.abs(x).max()) * float(np.abs(xs).max()) * width
                     # doubles hold the products and their sums exactly below 2**53
                     all_ = (xs.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if largest < 2**53 else xs @ x.T
