@@ -99,17 +99,21 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
         "jump-0",
     )
     jumps = [at]
+    ended = at.where("up is null")
     open_ = at.where("up is not null").count()
     while open_ and len(jumps) <= MAX_DOUBLINGS:
-        far = at.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        wide = at.join(far, ["tree", "up"], "left")
-        at = scratch.put(wide.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), f"jump-{len(jumps)}")
+        # only nodes that still look for their root are joined; the others are looked up
+        todo = at.where("up is not null")
+        far = ended.unionByName(todo).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        wide = todo.join(far, ["tree", "up"])
+        at = scratch.put(wide.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), f"jump-{len(jumps)}")
+        ended = ended.unionByName(at.where("up is null"))
         left = at.where("up is not null").count()
         jumps.append(at)
         if left == open_:  # no node has its root in this distance, so none has one farther up: cycles are left
             break
         open_ = left
-    leaves = at.where("up is null").join(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    leaves = ended.join(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node"))
     best = leaves.withColumn("rank", rank)
     if keep is not None:
