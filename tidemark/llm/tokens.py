@@ -8,22 +8,54 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct words a worker remembers (about 250 bytes each); beyond it the longer half is forgotten.
-MAX_WORDS = 1_000_000
+#: Distinct words a worker remembers (about 45 bytes each); beyond it the longer half is forgotten.
+MAX_WORDS = 1_500_000
 #: Bytes of text encoded at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 #: Unseen words encoded in one call.
 _JOIN = 512
 
+_RANDOM = np.random.Generator(np.random.Philox(11))
+_BYTE_CODES = _RANDOM.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = _RANDOM.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indices of ranges that begin at ``start`` and hold ``n``, one after the other."""
+    end = np.cumsum(n)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(total, int(start.max(initial=0))) < 1 << 30 else np.int64
+    out = np.repeat((start - end + n).astype(kind), n)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def _word_keys(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each string; 0 for the empty one."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    length = np.diff(offsets)
+    out = np.zeros((2, len(words)), dtype=np.uint64)
+    if offsets[-1] > offsets[0]:
+        data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        some = length > 0
+        first = (offsets[:-1] - offsets[0])[some]
+        place = np.arange(len(data)) - np.repeat(first, length[some])
+        for k in (0, 1):
+            powers = np.cumprod(np.full(int(length.max()), _BASES[k]), dtype=np.uint64)
+            h = np.add.reduceat(_BYTE_CODES[k][data] * powers[place], first)
+            out[k, some] = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out[0], out[1]
+
 
 class WordEncoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library.
 
     Its pre-tokenizer always cuts before a single space between two non-space
     characters, so a text's ids are the ids of its space-separated parts, one
-    after the other. Each distinct part is encoded once and remembered. A text
-    in which white space touches a space, or which begins or ends with one, is
-    encoded whole. Strings of special tokens count as ordinary text.
+    after the other. Each distinct part is encoded once and remembered, under a
+    128-bit hash in sorted arrays. A text in which white space touches a space,
+    or which begins or ends with one, is encoded whole. Strings of special
+    tokens count as ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,71 +71,106 @@ class WordEncoder:
         self._space = np.zeros(self.vocab_size, dtype=bool)
         for token, i in vocab.items():
             self._space[i] = token.startswith("Ġ")  # the byte-level form of a space
-        self._known: dict[str, bytes | None] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        known, safe = self._known, []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
-            else:
-                safe.append(w)
+        # sorted keys, second keys, where a word's ids begin in the pool, how many (-1: not to be cut out)
+        self._key, self._check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self._at, self._n = np.empty(0, np.int64), np.empty(0, np.int32)
+        self._pool, self._used = np.empty(1 << 16, dtype="<u4"), 0
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return (np.concatenate(found) if found else np.empty(0, "<u4")), np.array([len(f) for f in found], dtype=np.int64)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words, one after the other, and their numbers."""
+        odd = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        safe = [w for w, o in zip(words, odd, strict=True) if not o]
+        ids, numbers = [], []
         groups = [safe[i : i + _JOIN] for i in range(0, len(safe), _JOIN)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = np.flatnonzero(self._space[ids])
+            got = np.array(e.ids, dtype="<u4")
+            cuts = np.flatnonzero(self._space[got])
             if len(cuts) == len(group):
-                raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-                for w, a, b in zip(group, (4 * cuts).tolist(), ends, strict=True):
-                    known[w] = raw[a:b]
+                n = np.diff(cuts, append=len(got))
             else:
-                known.update(zip(group, self._whole([" " + w for w in group]), strict=True))
+                got, n = self._whole([" " + w for w in group])
+            ids.append(got)
+            numbers.append(n)
+        n = np.full(len(words), -1, dtype=np.int32)
+        if safe:
+            n[~np.array(odd)] = np.concatenate(numbers)
+        return (np.concatenate(ids) if ids else np.empty(0, "<u4")), n
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self._key):
+            return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        place = np.minimum(np.searchsorted(self._key, key), len(self._key) - 1)
+        return place, (self._key[place] == key) & (self._check[place] == check)
+
+    def _remember(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        while self._used + len(ids) > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.empty_like(self._pool)])
+        self._pool[self._used : self._used + len(ids)] = ids
+        size = np.maximum(n, 0).astype(np.int64)
+        at = self._used + np.cumsum(size) - size
+        self._used += len(ids)
+        order = np.argsort(key, kind="stable")
+        place = np.searchsorted(self._key, key[order])
+        self._key, self._check = np.insert(self._key, place, key[order]), np.insert(self._check, place, check[order])
+        self._at, self._n = np.insert(self._at, place, at[order]), np.insert(self._n, place, n[order])
+
+    def _forget(self) -> None:
+        keep = self._n <= np.median(self._n)  # long words are rare words
+        size = np.maximum(self._n[keep], 0).astype(np.int64)
+        kept = self._pool[_ranges(self._at[keep], size)]
+        self._key, self._check, self._n, self._at = self._key[keep], self._check[keep], self._n[keep], np.cumsum(size) - size
+        self._pool, self._used = np.concatenate([kept, np.empty(1 << 16, "<u4")]), len(kept)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array, one text after the other, and the ``len(texts) + 1`` borders.
 
-        Null counts as empty. Splitting, counting distinct words and laying out
-        their ids are array operations; Python sees each distinct word once.
+        Null counts as empty. Splitting, counting distinct words, looking them
+        up and laying out their ids are array operations; Python sees a word
+        when it is new.
         """
+        if not len(texts):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
         texts = pc.fill_null(texts, "")
         split = pc.split_pattern(texts, " ")
         first = split.offsets.to_numpy().astype(np.int64)
         first, words = first - first[0], split.flatten()
         coded = words.dictionary_encode()
-        place, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        if len(self._known) > MAX_WORDS:  # long words are rare words
-            middle = np.median([len(w) for w in self._known])
-            self._known = {w: raw for w, raw in self._known.items() if len(w) < middle}
-        known = self._known
+        place, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
         heads = pc.take(words, pa.array(first[:-1])).to_pylist()
-        later = np.zeros(len(vocabulary), dtype=bool)
         inner = np.ones(len(place), dtype=bool)
         inner[first[:-1]] = False
+        later = np.zeros(len(vocabulary), dtype=bool)
         later[place[inner]] = True
-        if fresh := [w for w, used in zip(vocabulary, later.tolist(), strict=True) if used and w not in known]:
-            self._learn(fresh)
-        parts = [known[w] if used else b"" for w, used in zip(vocabulary, later.tolist(), strict=True)]
-        odd_word = np.array([raw is None for raw in parts], dtype=bool)
+        if len(self._key) > MAX_WORDS:
+            self._forget()
+        key, check = _word_keys(vocabulary)
+        found, known = self._find(key, check)
+        fresh = np.flatnonzero(later & ~known)
+        if len(fresh):
+            self._remember(key[fresh], check[fresh], *self._learn(pc.take(vocabulary, pa.array(fresh)).to_pylist()))
+            found, known = self._find(key, check)
+        number = np.where(later & known, self._n[found] if len(self._n) else 0, 0).astype(np.int64)
+        odd_word = number < 0
         odd = np.zeros(len(texts), dtype=bool)
         if odd_word.any():
             odd[np.searchsorted(first, np.flatnonzero(odd_word[place] & inner), side="right") - 1] = True
-        several = np.diff(first) > 1
-        odd |= several & np.array([not h or h[-1].isspace() for h in heads], dtype=bool)
+        odd |= (np.diff(first) > 1) & np.array([not h or h[-1].isspace() for h in heads], dtype=bool)
+        number[odd_word] = 0
+        for i in np.flatnonzero(odd).tolist():
+            heads[i] = texts[i].as_py()
+        head_ids, head_n = self._whole(heads)
+        # the words of this group, then the heads, then nothing
+        table = np.concatenate([self._pool[_ranges(self._at[found] if len(self._at) else found, number)], head_ids])
+        length = np.concatenate([number, head_n, [0]])
         if odd.any():
-            place[np.repeat(odd, np.diff(first))] = len(parts) + len(heads)
-            for i in np.flatnonzero(odd).tolist():
-                heads[i] = texts[i].as_py()
-        place[first[:-1]] = len(parts) + np.arange(len(heads))
-        table = [raw or b"" for raw in parts] + self._whole(heads) + [b""]
-        length = np.array([len(raw) for raw in table], dtype=np.int64) // 4
-        flat, start = np.frombuffer(b"".join(table), "<u4"), np.cumsum(length) - length
-        n = length[place]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(start[place] - end + n, n) + np.arange(int(n.sum()))]
-        return ids, np.concatenate([[0], end])[first]
+            place[np.repeat(odd, np.diff(first))] = len(length) - 1
+        place[first[:-1]] = len(number) + np.arange(len(heads))
+        start, n = np.cumsum(length) - length, length[place]
+        return table[_ranges(start[place], n)], np.concatenate([[0], np.cumsum(n)])[first]
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`encode`, with ``end_id`` after each text."""
