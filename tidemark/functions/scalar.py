@@ -83,11 +83,12 @@ def round_significant(c: Column, digits: int) -> Column:
 
 def severity(p: Column) -> Column:
     """0 to 100: clamp to [0, 1], scale, round half-even."""
-    return F.rint(100 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))).cast("int")
+    return F.rint(100 * clamp(p, 0, 1)).cast("int")
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), c))
+    """Into [low, high]; null stays null, which ``least`` and ``greatest`` would skip."""
+    return F.when(c.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), c)))
 
 
 def binary_entropy(p: Column, eps: float = 1e-12) -> Column:
