@@ -32,7 +32,7 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
         enc = encoder(tokenizer_path)
         for batch in grouped(batches):
             ids, borders = enc.encode_ended(batch.column(1), end_id)
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids).cast("B")
             rows: list[tuple] = []
             for doc, at, n in zip(batch.column(0).to_pylist(), borders.tolist(), np.diff(borders).tolist(), strict=False):
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.common import trim
+
 #: Distinct words a worker remembers (about 45 bytes each); beyond it the longer half is forgotten.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 800_000
 #: Bytes of text encoded at a time.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
 #: Unseen words encoded in one call.
 _JOIN = 512
 
@@ -22,10 +24,9 @@ _BASES = _RANDOM.integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.ui
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The indices of ranges that begin at ``start`` and hold ``n``, one after the other."""
-    end = np.cumsum(n)
-    total = int(end[-1]) if len(end) else 0
+    total = int(n.sum(dtype=np.int64))
     kind = np.int32 if max(total, int(start.max(initial=0))) < 1 << 30 else np.int64
-    out = np.repeat((start - end + n).astype(kind), n)
+    out = np.repeat((start + n).astype(kind) - np.cumsum(n, dtype=kind), n)
     out += np.arange(total, dtype=kind)
     return out
 
@@ -139,7 +140,7 @@ class WordEncoder:
         first = split.offsets.to_numpy().astype(np.int64)
         first, words = first - first[0], split.flatten()
         coded = words.dictionary_encode()
-        place, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        place, vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
         heads = pc.take(words, pa.array(first[:-1])).to_pylist()
         inner = np.ones(len(place), dtype=bool)
         inner[first[:-1]] = False
@@ -169,13 +170,20 @@ class WordEncoder:
         if odd.any():
             place[np.repeat(odd, np.diff(first))] = len(length) - 1
         place[first[:-1]] = len(number) + np.arange(len(heads))
-        start, n = np.cumsum(length) - length, length[place]
-        return table[_ranges(start[place], n)], np.concatenate([[0], np.cumsum(n)])[first]
+        del words, coded, inner
+        start, n = (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32)[place]
+        borders = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[first]
+        return table[_ranges(start[place], n)], borders
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`encode`, with ``end_id`` after each text."""
         ids, edges = self.encode(texts)
-        return np.insert(ids, edges[1:], end_id), edges + np.arange(len(edges))
+        after = edges + np.arange(len(edges))
+        out = np.empty(len(ids) + len(texts), dtype="<u4")
+        hold = np.ones(len(out), dtype=bool)
+        hold[after[1:] - 1] = False
+        out[hold], out[~hold] = ids, end_id
+        return out, after
 
 
 def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -189,8 +197,11 @@ def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = GROUP_
         if filled >= size:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, filled = [], 0
+            trim()
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = []
+    trim()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
