@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tidemark.plans import context_queries, inference_queries, ranking_queries  # noqa: F401
+from tidemark.plans import analytics_queries, context_queries, inference_queries, ranking_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
