@@ -11,7 +11,6 @@ from tidemark.functions.scalar import binary_entropy, safe_rate
 from tidemark.operators import ranking as rk
 from tidemark.operators.cumulative import cumulative
 
-_ALL = F.lit(0)
 
 # --- positions in a reference distribution ------------------------------------------------------
 
@@ -69,7 +68,7 @@ def oscr(df: DataFrame, novelty: str, known: str, correct: str) -> DataFrame:
 
 def trapezoid(curve: DataFrame, x: str, y: str) -> DataFrame:
     """Area under a curve of distinct points, by x then y."""
-    w = Window.partitionBy(_ALL).orderBy(x, y)
+    w = Window.partitionBy(F.lit(0)).orderBy(x, y)
     part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
     return curve.select(part.alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
 
@@ -256,8 +255,8 @@ def apply_fault(df: DataFrame, columns: Sequence[str], mode: str, key: str) -> D
         return df.withColumns({c: F.lit(0).cast(df.schema[c].dataType) for c in columns})
     if mode != "shuffled":
         raise ValueError(f"unknown fault {mode}")
-    here = F.row_number().over(Window.partitionBy(_ALL).orderBy(key))
-    there = F.row_number().over(Window.partitionBy(_ALL).orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)), key))
+    here = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))
+    there = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)), key))
     block = df.select(there.alias("_i"), *columns)
     return df.drop(*columns).withColumn("_i", here).join(block, "_i").drop("_i").select(*df.columns)
 

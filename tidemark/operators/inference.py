@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import mixture_boundary, safe_rate
 from tidemark.operators.cumulative import cumulative
 
-_ONE = F.lit
-
 
 def conformal_quantile(df: DataFrame, score: str, alpha: float, by: Sequence[str] = ()) -> DataFrame:
     """The order statistic at zero-based index ceil(level * (n - 1)), level = min(1, ceil((n+1)(1-alpha)) / n).
