@@ -123,6 +123,7 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
         hop = jumps[k].where("up is not null").select("tree", "node", "up")
         more = path.join(hop, ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
         path = scratch.put(path.unionByName(more), f"path-{k}")
+        scratch.drop(f"path-{k + 1}", f"jump-{k}")
     return path
 
 

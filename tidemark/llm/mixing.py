@@ -136,6 +136,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, i
     work = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)], token_count(F.col(text_col)).alias("mix_tokens"))
     rows = scratch.put(work.select(F.col(id_col).alias("doc_id"), *names, F.col("mix_tokens").alias("tokens")), "rows")
     plan = scratch.put(plan_mix(rows, names, paths, scratch, total, max_epochs, seed).select(*names, *[F.col(c).alias(f"_mix_{c}") for c in ("epochs", "rest", "end_key", "end_id", "end_start")]), "plan")
+    scratch.drop("rows", "budgets", "ends")
     key = _key(F.col("_mix_epochs"), seed, F.col(id_col))
     at_end = (F.col("_mix_key") == F.col("_mix_end_key")) & F.col(id_col).eqNullSafe(F.col("_mix_end_id"))
     last = F.coalesce((F.col("_mix_key") < F.col("_mix_end_key")) | at_end, F.lit(False))

@@ -258,6 +258,7 @@ class PivotIndex:
                 found = found.unionByName(best.select("query_id", "vec_id", "score"))
             rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
             best = self.scratch.put(found.withColumn("rank", rank).where(F.col("rank") <= self.k).select("query_id", F.col("rank").cast("int"), "vec_id", "score"), f"best-{n}")
+            self.scratch.drop(f"visits-{n}", f"best-{n - 1}")
             seen = upto if upto is not None else len(self.directory)
             if seen >= len(self.directory):
                 break
