@@ -277,8 +277,19 @@ _END = (
     '<div class="pagination"><a href="/2">2</a></div>', '<ul class="tags"><li><a href="/t">{w}</a></li></ul>', '<div class="disclaimer"><p>{s}</p></div>', '<footer><p>{s}</p><ul><li><a href="/c">{w}</a></li></ul></footer>', '<div class="replies"><p>{s}</p></div>',
 )
 
-
-def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
+#: Words that name boilerplate elements, roles and elements of it, and words that name content (the pages' vocabulary of markup).
+_BOILER_NAMES = (
+    "ad ads advert adverts advertisement adslot sponsor sponsored promo promotion banner billboard nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar widget widgets related recommended "
+    "share sharing social follow cookie cookies consent gdpr privacy notice notices alert warning announcement newsletter subscribe subscription signup login register search form contact comment comments "
+    "respond reply replies discussion disqus feedback reviews footer copyright legal disclaimer terms header masthead topbar toolbar logo tagline pagination pager tags categories meta popup modal overlay dialog skip sitemap"
+).split()
+_BOILER_ROLES = ("navigation", "banner", "complementary", "contentinfo", "search", "alert", "dialog", "menu", "form")
+_BOILER_TAGS = ("nav", "aside", "footer", "form", "dialog", "menu", "header")
+_CONTENT_NAMES = "content article post entry main story body text prose copy document chapter blog news page".split()
+_WRAPS = ("<div {}><p>{{s}}</p></div>", "<div {}>{{s}}</div>", "<section {}><h3>{{w}}</h3><p>{{s}}</p><p>{{s}}</p></section>", "<div {}><ul><li><a href='/x'>{{t}}</a></li><li>{{s}}</li></ul></div>", "<p {}>{{s}}</p>", "<div {}><div><b>{{w}}</b><p>{{s}}</p></div></div>")
+
+
+def labelled_pages(n: int = 480, seed: int = 5) -> list[str]:
     """Pages made of templates; the marks U+0001 and U+0002 stand around each content text.
 
     Their prose is made of syllables, so only structure and shape can be
@@ -303,6 +314,19 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
                 template = template.replace(mark, make(), 1)
         return template
 
+    def named_boiler() -> str:
+        kind = rng.random()
+        if kind < 0.15:
+            tag = rng.choice(_BOILER_TAGS)
+            return boiler(f"<{tag}><p>{{s}}</p></{tag}>" if rng.random() < 0.5 else f"<{tag}>{{s}}</{tag}>")
+        if kind < 0.3:
+            mark = f'role="{rng.choice(_BOILER_ROLES)}"'
+        else:
+            name = rng.choice(_BOILER_NAMES)
+            name += rng.choice(("", "", "-" + rng.choice(("box", "area", "wrap", "inner", "list", "1")), "_" + rng.choice(_BOILER_NAMES)))
+            mark = rng.choice(('class="{}"', 'id="{}"', 'class="box {}"')).format(rng.choice(("", "", "site-", "page-", "user-")) + name)
+        return boiler(rng.choice(_WRAPS).format(mark))
+
     def content_block() -> str:
         template = rng.choice(_CONTENT_BLOCKS)
         while "{}" in template:
@@ -318,9 +342,10 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
                 inner.append(boiler(rng.choice(_SIDE)))
         if rng.random() < 0.2:
             inner.append(boiler(rng.choice(_END[3:6])))
-        parts = [boiler(t) for t in rng.sample(_TOP, rng.randint(0, 4))]
-        body = rng.choice(_CONTENT_SHELLS).format("".join(inner))
-        parts += [boiler(rng.choice(_SIDE))] * (rng.random() < 0.3) + [body] + [boiler(t) for t in rng.sample(_SIDE, rng.randint(0, 2))] + [boiler(t) for t in rng.sample(_END, rng.randint(0, 3))]
+        parts = [boiler(t) for t in rng.sample(_TOP, rng.randint(0, 3))] + [named_boiler() for _ in range(rng.randint(0, 4))]
+        shell = rng.choice(_CONTENT_SHELLS) if rng.random() < 0.6 else f'<div class="{rng.choice(_CONTENT_NAMES)}{rng.choice(("", "-" + rng.choice(_CONTENT_NAMES)))}">{{}}</div>'
+        body = shell.format("".join(inner))
+        parts += [boiler(rng.choice(_SIDE))] * (rng.random() < 0.3) + [body] + [boiler(t) for t in rng.sample(_SIDE, rng.randint(0, 2))] + [boiler(t) for t in rng.sample(_END, rng.randint(0, 3))] + [named_boiler() for _ in range(rng.randint(0, 3))]
         page = f"<html><head><title>{sentence(5)}</title><style>p{{}}</style></head><body>{''.join(parts)}"
         pages.append(page if rng.random() < 0.2 else page + "</body></html>")
     return pages
@@ -336,7 +361,7 @@ def labelled_blocks(page: str) -> tuple[list[Block], list[int]]:
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 240, seed: int = 5) -> Crf:
+def trained(n: int = 480, seed: int = 5) -> Crf:
     """The CRF fitted on :func:`labelled_pages`."""
     return fit([labelled_blocks(page) for page in labelled_pages(n, seed)])
 
