@@ -179,3 +179,8 @@ def conformal_set(p: Column, tau_benign: Column | float, tau_attack: Column | fl
     benign, attack = p <= tau_benign, 1 - p <= tau_attack
     action = F.when(attack & ~benign, "auto_alert").when(benign & ~attack, "auto_clear").otherwise("review")
     return benign, attack, action
+
+
+def mix32(key: Column) -> Column:
+    """A multiplicative hash of a whole number to [0, 2**32), by arithmetic that any SQL engine repeats without overflow."""
+    return F.pmod(F.pmod(key, F.lit(1 << 31)) * 2654435761, F.lit(1 << 32))

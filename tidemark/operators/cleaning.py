@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import coerce_number, consolidate, normalize_label, sentinel_to_null
+from tidemark.functions.scalar import coerce_number, consolidate, mix32, normalize_label, sentinel_to_null
 
 
 def trim_headers(df: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def content_digest(df: DataFrame) -> DataFrame:
 
 def hash_draw(key: Column, seed: int, modulus: int = 1 << 32) -> Column:
     """A uniform draw in [0, 1) from a whole key, by arithmetic that any SQL engine repeats."""
-    return F.pmod((key * 2654435761 + seed * 40503) * 69069 + key, F.lit(modulus)) / float(modulus)
+    return F.pmod(F.pmod(mix32(key) + seed * 40503, F.lit(1 << 32)) * 69069 + F.pmod(key, F.lit(1 << 31)), F.lit(modulus)) / float(modulus)
 
 
 def temporal_split(df: DataFrame, day: str, test_days: Sequence, key: str, validation: float = 0.2, stratum: str | None = None, seed: int = 7) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import is_internal, safe_rate
+from tidemark.functions.scalar import is_internal, mix32, safe_rate
 
 
 def as_of_context(df: DataFrame, entity: str, time_us: str, lookback_us: int, distinct: Sequence[str] = ()) -> DataFrame:
@@ -153,7 +153,7 @@ def active_idle(df: DataFrame, by: Sequence[str], time: str, timeout: int) -> Da
 
 def exemplars(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
     """Up to ``per_class`` rows of each class, picked by a hash of the key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)), key))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(mix32(F.col(key)), key))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")
 
 

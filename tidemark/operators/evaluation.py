@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import binary_entropy, safe_rate
+from tidemark.functions.scalar import binary_entropy, mix32, safe_rate
 from tidemark.operators import ranking as rk
 from tidemark.operators.cumulative import cumulative
 
@@ -206,7 +206,7 @@ def online_pvalues(df: DataFrame, by: Sequence[str], order: Sequence[str], score
 def paired_difference(df: DataFrame, key: str, a: str, b: str, replicates: int, alpha: float, seed: int) -> DataFrame:
     """Bootstrap of mean(b) - mean(a) on shared Poisson weights: interval, and the share of differences at or below 0."""
     diff = df.select(key, (F.col(b) - F.col(a)).alias("value"))
-    u = F.pmod(F.col(key) * 2654435761 + F.col("b") * 40503 * seed + (F.col(key) % 1009) * F.col("b") * 7919, F.lit(1 << 32)) / float(1 << 32)
+    u = F.pmod(mix32(F.col(key)) + F.col("b") * 40503 * seed + (F.col(key) % 1009) * F.col("b") * 7919, F.lit(1 << 32)) / float(1 << 32)
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
     w = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
     drawn = diff.crossJoin(F.broadcast(df.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "b"))).withColumn("w", w)
@@ -256,7 +256,7 @@ def apply_fault(df: DataFrame, columns: Sequence[str], mode: str, key: str) -> D
     if mode != "shuffled":
         raise ValueError(f"unknown fault {mode}")
     here = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))
-    there = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)), key))
+    there = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(mix32(F.col(key)), key))
     block = df.select(there.alias("_i"), *columns)
     return df.drop(*columns).withColumn("_i", here).join(block, "_i").drop("_i").select(*df.columns)
 
@@ -291,7 +291,7 @@ def mmd2(x: DataFrame, y: DataFrame, key: str, value: str, gamma: float, most: i
     """Unbiased squared MMD with an RBF kernel on ``most`` rows a side, picked by hash; the sample is the feature."""
 
     def some(df: DataFrame, side: int) -> DataFrame:
-        return df.orderBy(F.pmod(F.col(key) * 2654435761, F.lit(1 << 32)), key).limit(most).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.lit(side).alias("s"))
+        return df.orderBy(mix32(F.col(key)), key).limit(most).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"), F.lit(side).alias("s"))
 
     z = some(x, 1).unionByName(some(y, 0))
     pairs = z.crossJoin(F.broadcast(z.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("s").alias("s2")))).where("s <> s2 or k <> k2")

@@ -18,7 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import clamp
+from tidemark.functions.scalar import clamp, mix32
 from tidemark.operators import ranking as rk
 
 
@@ -147,7 +147,7 @@ class IsolationForest:
     def fit(df: DataFrame, features: Sequence[str], key: str, trees: int = 100, size: int = 256, seed: int = 7) -> IsolationForest:
         """``trees * size`` rows at most reach the driver, picked by a hash of the key."""
         need = trees * size
-        rows = df.orderBy(F.pmod((F.col(key) + seed) * 2654435761, F.lit(1 << 32)), key).limit(need).select(*[F.col(c).cast("double") for c in features]).collect()
+        rows = df.orderBy(mix32(F.col(key) + seed), key).limit(need).select(*[F.col(c).cast("double") for c in features]).collect()
         data, rng = np.array(rows, dtype=float), np.random.default_rng(seed)
         size = min(size, len(data))
         deepest = math.ceil(math.log2(max(size, 2)))

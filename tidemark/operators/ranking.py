@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import bayes_precision, cost_per_flow, safe_rate
+from tidemark.functions.scalar import bayes_precision, cost_per_flow, mix32, safe_rate
 from tidemark.operators.cumulative import cumulative
 
 
@@ -193,7 +193,7 @@ def bootstrap_ci(df: DataFrame, key: str, replicates: int, alpha: float, seed: i
     replicates run as one aggregation and repeat exactly. A linear congruence of
     the key stands for the uniform draw.
     """
-    u = F.pmod(F.col(key) * 2654435761 + F.col("b") * 40503 * seed + (F.col(key) % 1009) * F.col("b") * 7919, F.lit(1 << 32)) / float(1 << 32)
+    u = F.pmod(mix32(F.col(key)) + F.col("b") * 40503 * seed + (F.col(key) % 1009) * F.col("b") * 7919, F.lit(1 << 32)) / float(1 << 32)
     steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(6)]
     weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
     drawn = df.select(key, F.col(value).alias("v")).crossJoin(F.broadcast(df.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "b")))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import mix32
 from tidemark.operators.cumulative import cumulative
 
 PRIME = (1 << 31) - 1
@@ -68,7 +69,7 @@ def approx_heavy_hitters(df: DataFrame, key: str, k: int, tracked: int = 1000) -
 
 def reservoir(df: DataFrame, key: str, size: int, seed: int = 7) -> DataFrame:
     """A uniform sample of fixed size that repeats exactly: the rows whose key hashes smallest."""
-    return df.orderBy(F.pmod((F.col(key) + seed) * 2654435761, F.lit(1 << 32)), key).limit(size)
+    return df.orderBy(mix32(F.col(key) + seed), key).limit(size)
 
 
 def histogram_quantile(df: DataFrame, value: str, low: float, high: float, bins: int, level: float) -> DataFrame:

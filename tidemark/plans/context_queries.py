@@ -188,7 +188,7 @@ def quality_gate(t: Tables) -> DataFrame:
     return r6(cl.quality_gate(c, ["label", "p_type", "p_size", "absent"], "label", ["Brand#1", "Brand#2"]), "measured")
 
 
-U = "((o_orderkey * 2654435761 + 7 * 40503) * 69069 + o_orderkey) % 4294967296 / 4294967296::DOUBLE"
+U = "((o_orderkey * 2654435761 % 4294967296 + 7 * 40503) % 4294967296 * 69069 + o_orderkey) % 4294967296 / 4294967296::DOUBLE"
 
 
 @query(f"""WITH d AS (SELECT o_orderkey, o_orderstatus, year(o_orderdate) >= 2000 AS te, {U} AS u FROM orders),

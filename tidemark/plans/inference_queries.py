@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import mix32
+
 from tidemark.functions import scalar as sc
 from tidemark.operators import context as cx
 from tidemark.operators import drift as dr
@@ -105,7 +107,7 @@ HASH = "((o_orderkey * 2654435761) % 4294967296) / 4294967296::DOUBLE"
 SELECT round(sum(v / pi), 2) AS total, round(sum(v ^ 2 * (1 - pi) / pi ^ 2) / 1e9, 2) AS variance, round(sum(v) / avg(pi), 2) AS naive FROM p WHERE u < pi""")
 def horvitz_thompson(t: Tables) -> DataFrame:
     pi = F.when(F.col("o_orderpriority") == "1-URGENT", 0.5).otherwise(0.2)
-    u = F.pmod(F.col("o_orderkey") * 2654435761, F.lit(1 << 32)) / float(1 << 32)
+    u = mix32(F.col("o_orderkey")) / float(1 << 32)
     out = nf.horvitz_thompson(t.orders.where(u < pi), F.col("o_totalprice"), pi)
     return out.select(F.round("total", 2).alias("total"), F.round(F.col("variance") / 1e9, 2).alias("variance"), F.round("naive", 2).alias("naive"))
 
@@ -217,7 +219,7 @@ def burn_first_firing(t: Tables) -> DataFrame:
 @query(f"""WITH {EV}, p AS (SELECT event_id, label, ts, (event_id * 2654435761 % 4294967296 + 1) / 4294967297::DOUBLE AS p FROM ev), s AS (SELECT event_id, {', '.join(f"sum({math.log(e)!r}::DOUBLE + ({e} - 1) * ln(greatest(p, 1e-12::DOUBLE))) OVER w AS l{i}" for i, e in enumerate((0.25, 0.5, 0.75)))} FROM p WINDOW w AS (PARTITION BY label ORDER BY ts, event_id)),
 m AS (SELECT *, greatest(l0, l1, l2) AS t FROM s) SELECT event_id, round(t + ln((exp(l0 - t) + exp(l1 - t) + exp(l2 - t)) / 3), 5) AS log_m FROM m""")
 def power_martingale(t: Tables) -> DataFrame:
-    p = ev(t).withColumn("p", (F.pmod(F.col("event_id") * 2654435761, F.lit(1 << 32)) + 1) / float((1 << 32) + 1))
+    p = ev(t).withColumn("p", (mix32(F.col("event_id")) + 1) / float((1 << 32) + 1))
     return nf.power_martingale(p, ["label"], ["ts", "event_id"], "p", (0.25, 0.5, 0.75)).select("event_id", F.round("log_m", 5).alias("log_m"))
 
 
