@@ -215,9 +215,10 @@ def threshold_from_count(df: DataFrame, score: str, m: int) -> DataFrame:
 
 
 def mean_excess(df: DataFrame, score: str, thresholds: DataFrame) -> DataFrame:
-    """Mean of score - u over scores above each u (column threshold)."""
-    over = df.crossJoin(F.broadcast(thresholds)).where(F.col(score) > F.col("threshold"))
-    return over.groupBy("threshold").agg(F.avg(F.col(score) - F.col("threshold")).alias("mean_excess"), F.count(F.lit(1)).alias("n"))
+    """Mean of score - u over scores above each u (column threshold); rows are counted per distinct score first."""
+    ties = df.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    over = ties.crossJoin(F.broadcast(thresholds)).where(F.col("_s") > F.col("threshold"))
+    return over.groupBy("threshold").agg((F.sum((F.col("_s") - F.col("threshold")) * F.col("_n")) / F.sum("_n")).alias("mean_excess"), F.sum("_n").alias("n"))
 
 
 # --- sequential tests, by stream ----------------------------------------------------------------

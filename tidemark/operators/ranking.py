@@ -121,10 +121,15 @@ def calibration_summary(df: DataFrame, bins: int, prob: str = "score", label: st
     return errors.crossJoin(F.broadcast(df.agg(F.avg(F.pow(F.col(prob) - F.col(label), 2)).alias("brier"))))
 
 
-def cost_curve(df: DataFrame, thresholds: DataFrame, prior: float, alert: float, miss: float) -> DataFrame:
-    """Expected cost per flow at each row of ``thresholds`` (threshold), reweighted to a base rate."""
-    counted = df.crossJoin(F.broadcast(thresholds))
-    rates = rates_at_threshold(counted, F.col("threshold"), by=["threshold"])
+def cost_curve(df: DataFrame, thresholds: DataFrame, prior: float, alert: float, miss: float, score: str = "score", label: str = "y") -> DataFrame:
+    """Expected cost per flow at each row of ``thresholds`` (threshold), reweighted to a base rate.
+
+    Rows are first counted per distinct score, so only tie groups meet the grid.
+    """
+    ties = df.groupBy(F.col(score).alias("_s")).agg(F.sum(label).alias("_p"), F.sum(1 - F.col(label)).alias("_q"))
+    over = lambda c: F.sum(F.when(F.col("_s") >= F.col("threshold"), F.col(c)).otherwise(0))
+    sums = ties.crossJoin(F.broadcast(thresholds)).groupBy("threshold").agg(over("_p").alias("tp"), over("_q").alias("fp"), F.sum("_p").alias("p"), F.sum("_q").alias("q"))
+    rates = sums.withColumns({"tpr": safe_rate(F.col("tp"), F.col("p")), "fpr": safe_rate(F.col("fp"), F.col("q"))})
     return rates.withColumn("cost", cost_per_flow(F.col("tpr"), F.col("fpr"), F.lit(prior), alert, miss)).select("threshold", "tpr", "fpr", "cost")
 
 
