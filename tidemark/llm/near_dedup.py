@@ -23,6 +23,8 @@ MANTISSA = 10
 SLACK = 5.0
 #: Ids that are broadcast at most (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Buckets that are broadcast at most (12 bytes each); beyond it the join shuffles.
+BROADCAST_BUCKETS = 500_000
 #: Documents of a bucket that one block of the remainder compares.
 BLOCK = 512
 #: Bytes of text hashed at a time.
@@ -365,8 +367,10 @@ def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: D
     """Links (a, b) that join different components in buckets of more than two members."""
     spark, cut = session(inside), estimate_cut(percent / 100)
     held = inside.where("size > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("band", "value", "size", "rep", F.coalesce("component", "rep").alias("root"))
-    split = held.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value")
-    held = held.join(split, ["band", "value"]).join(reps.select("rep", "n", "bands"), "rep")
+    held = scratch.put(held, "held")
+    # partial minima and maxima leave one row a bucket and task, so a hot bucket is no large group here
+    split = scratch.put(held.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value"), "split")
+    held = held.join(F.broadcast(split) if split.count() <= BROADCAST_BUCKETS else split, ["band", "value"]).join(reps.select("rep", "n", "bands"), "rep")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = held.select("*", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "bands")
@@ -412,5 +416,5 @@ def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: D
     sets = _sets(hits.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "hits")
     full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
     links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
-    scratch.drop("hits", "hits-sets", "hits-ids")
+    scratch.drop("hits", "hits-sets", "hits-ids", "held", "split")
     return links
