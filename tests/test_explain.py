@@ -64,3 +64,29 @@ def test_budgeted_probabilities_and_retraining(spark):
     psi = spark.createDataFrame([(i, v) for i, v in enumerate((0.3, 0.3, 0.1, 0.3, 0.3, 0.0))], "b int, psi double")
     assert [r.b for r in xp.retrain_schedule(psi, "b", 0.25, 3).collect()] == [0, 3]
     assert xp.retrain_schedule(psi, "b", 0.9, 3).count() == 0
+
+
+def test_slices_influence_and_merging(spark):
+    df = spark.range(400).select("id", (F.col("id") % 2 == 0).alias("even"), (F.col("id") % 3 == 0).alias("third"), ((F.col("id") % 6 == 0).cast("double") + (F.col("id") % 7) / 100).alias("loss"))
+    top = xp.beam_slices(df, {"even": F.col("even"), "third": F.col("third"), "odd": ~F.col("even")}, "loss", 2, 2, 20).first()
+    assert top.slice == "even & third" and top.n == 67
+    rows = spark.createDataFrame([(i, float(i % 10 - 5), int(i % 10 >= 5)) for i in range(100)] + [(999, -5.0, 1)], "id long, a double, y int")
+    inf = {r.id: r for r in xp.influence(rows, rows.where("id < 999"), "id", ["a"], [1.0, 0.0]).collect()}
+    assert max(inf, key=lambda i: inf[i].self_influence) == 999
+    m = xp.merge_cascade(df.select("id", (F.col("id") / 400).alias("s1"), (F.col("id") % 5 / 5).alias("s2")), "s1", "s2", F.col("id") >= 300).orderBy("id").collect()
+    assert max(r.merged for r in m[:300]) < min(r.merged for r in m[300:]) and [r.merged for r in m[:300]] == sorted(r.merged for r in m[:300])
+    a, b = (spark.range(300).select("id", (F.col("id") % 10 + shift).cast("double").alias("v")) for shift in (0, 2))
+    d = xp.independent_difference(a, b, "id", "v", 60, 0.1, 1).first()
+    assert 0.5 < d.low < 2 < d.high < 3.5 and d.p == 0.0
+
+
+def test_tuning_and_folds(spark):
+    from tidemark.operators import models as ml
+
+    rows = spark.range(300).select("id", (F.col("id") % 20 / 20.0).alias("a"), (F.col("id") % 20 >= 12).cast("int").alias("y"))
+    best, scores = ml.tune(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), ["a"], [{"kind": "logistic"}, {"kind": "logistic", "maxIter": 0}])
+    assert best == {"kind": "logistic"} and scores[0] == 1.0
+    oof = ml.out_of_fold(rows, "id", ["a"])
+    assert oof.count() == 300 and oof.where("attack_probability >= 0.5 and y = 0 or attack_probability < 0.5 and y = 1").count() < 30
+    kinds = spark.range(200).select(F.when(F.col("id") < 150, "ok").when(F.col("id") < 175, "far").otherwise("near").alias("k"), F.when((F.col("id") >= 150) & (F.col("id") < 175), 50.0).otherwise(F.col("id") % 10).alias("a"), F.lit("train").alias("part"))
+    assert ml.leave_one_class_out(kinds, "k", "ok", ["a"], 0.01) == [("far", 1.0), ("near", 0.0)]

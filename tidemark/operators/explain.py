@@ -217,3 +217,69 @@ def retrain_schedule(psi: DataFrame, batch: str, threshold: float, cooldown: int
 
 def fidelity_share(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(safe_rate(F.count_if(F.col(a) == F.col(b)), F.count(F.lit(1))).alias("agreement"))
+
+
+def beam_slices(df: DataFrame, literals: Mapping[str, Column], loss: str, depth: int, beam: int, least_rows: int) -> DataFrame:
+    """The worst slices by Welch's t among conjunctions of literals, level by level; one scan scores a level."""
+    from tidemark.operators.evaluation import slice_scores
+
+    seen, front = None, [((), F.lit(True))]
+    for _ in range(depth):
+        level = {}
+        for names, cond in front:
+            for name, literal in literals.items():
+                if name not in names and (key := tuple(sorted((*names, name)))) not in level:
+                    level[key] = cond & literal
+        if not level:
+            break
+        scored = slice_scores(df, {" & ".join(k): c for k, c in level.items()}, loss).where(F.col("n") >= least_rows)
+        best = scored.orderBy(F.desc_nulls_last("t"), "slice").limit(beam).collect()
+        names_of = {" & ".join(k): k for k in level}
+        front = [(names_of[r["slice"]], level[names_of[r["slice"]]]) for r in best if r["t"] is not None]
+        rows = [tuple(r) for r in best]
+        seen = rows if seen is None else seen + rows
+    return df.sparkSession.createDataFrame(seen or [], "slice string, n long, inside double, outside double, t double").orderBy(F.desc_nulls_last("t"), "slice")
+
+
+def influence(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], weights: Sequence[float], l2: float = 1e-3, label: str = "y") -> DataFrame:
+    """key, influence (predicted change of the mean test loss if the row were left out) and self_influence, for a logistic model.
+
+    The Hessian is one aggregation of (k + 1)(k + 2) / 2 sums; scores are expressions.
+    """
+    cols = [*[F.col(c).cast("double") for c in features], F.lit(1.0)]
+    k = len(cols)
+    p = 1 / (1 + F.exp(-sum((float(w) * c for w, c in zip(weights, cols, strict=True)), F.lit(0.0))))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = train.agg(F.count(F.lit(1)), *[F.sum(p * (1 - p) * cols[i] * cols[j]) for i, j in pairs]).first()
+    n, h = max(1, row[0]), np.zeros((k, k))
+    for (i, j), v in zip(pairs, row[1:], strict=True):
+        h[i, j] = h[j, i] = v / n
+    inverse = np.linalg.inv(h + l2 * np.eye(k))
+    gap = p - F.col(label)
+    g_test = np.array(test.agg(*[F.avg(gap * c) for c in cols]).first())
+    pull = inverse @ g_test
+    own = sum((float(inverse[i, j]) * cols[i] * cols[j] for i in range(k) for j in range(k)), F.lit(0.0)) * gap * gap
+    return train.select(key, (gap * sum((float(v) * c for v, c in zip(pull, cols, strict=True)), F.lit(0.0)) / n).alias("influence"), own.alias("self_influence"))
+
+
+def merge_cascade(df: DataFrame, first: str, second: str, forwarded: Column) -> DataFrame:
+    """One ranking of a two-stage cascade: forwarded rows keep the second score, the others fill a unit band below the lowest of those, by the first."""
+    ends = df.agg(F.min(F.when(forwarded, F.col(second))).alias("_floor"), F.min(F.when(~forwarded, F.col(first))).alias("_lo"), F.max(F.when(~forwarded, F.col(first))).alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    place = F.when(span > 0, (F.col(first) - F.col("_lo")) / span).otherwise(0.0)
+    below = F.coalesce("_floor", F.lit(0.0)) - 1 - 1e-9 + place * (1 - 1e-9)
+    return df.crossJoin(F.broadcast(ends)).withColumn("merged", F.when(forwarded, F.col(second)).otherwise(below)).drop("_floor", "_lo", "_hi")
+
+
+def independent_difference(a: DataFrame, b: DataFrame, key: str, value: str, replicates: int, alpha: float, seed: int) -> DataFrame:
+    """Bootstrap of mean(b) - mean(a) of two samples, each with its own Poisson weights: interval and share at or below 0."""
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+    def means(df: DataFrame, salt: int, name: str) -> DataFrame:
+        u = F.pmod(mix32(F.col(key)) + F.col("r") * 40503 * (seed + salt) + (F.col(key) % 1009) * F.col("r") * 7919, F.lit(1 << 32)) / float(1 << 32)
+        w = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+        drawn = df.select(key, F.col(value).alias("_v")).crossJoin(F.broadcast(df.sparkSession.range(1, replicates + 1).withColumnRenamed("id", "r"))).withColumn("_w", w)
+        return drawn.groupBy("r").agg((F.sum(F.col("_w") * F.col("_v")) / F.when(F.sum("_w") > 0, F.sum("_w"))).alias(name))
+
+    both = means(a, 0, "a").join(means(b, 101, "b"), "r").withColumn("d", F.col("b") - F.col("a"))
+    return both.agg(F.percentile("d", alpha / 2).alias("low"), F.percentile("d", 1 - alpha / 2).alias("high"), F.coalesce(F.avg((F.col("d") <= 0).cast("double")), F.lit(1.0)).alias("p"))

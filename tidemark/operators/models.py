@@ -253,3 +253,37 @@ def train_bundle(train: DataFrame, val: DataFrame, features: Sequence[str], kind
 def promote(metrics: DataFrame, least_gain: float = 0.0, most_loss: float = 0.01) -> DataFrame:
     """Whether a challenger goes live: its main metric gains and no guarded one loses more than allowed; rows (metric, delta, guarded)."""
     return metrics.agg((F.min(F.when(~F.col("guarded"), F.col("delta"))) >= least_gain).alias("gains"), (F.coalesce(F.min(F.when(F.col("guarded"), F.col("delta"))), F.lit(0.0)) >= -most_loss).alias("holds")).select((F.col("gains") & F.col("holds")).alias("promote"))
+
+
+def tune(train: DataFrame, val: DataFrame, features: Sequence[str], candidates: Sequence[dict], label: str = "y") -> tuple[dict, list[float]]:
+    """The candidate ({'kind': ..., parameters}) with the best average precision on validation; ties go to the first."""
+    prepared = balance_weights(train.withColumns({c: F.col(c).cast("double") for c in features}), label).cache()
+    scores = []
+    for c in candidates:
+        params = {k: v for k, v in c.items() if k != "kind"}
+        model = Pipeline(stages=[feature_pipeline(features), classifier(c["kind"], label, weightCol="weight", **params)]).fit(prepared)
+        scored = Bundle(model, Calibrator("none"), {}, list(features)).score(val).withColumnRenamed("attack_probability", "score")
+        scores.append(rk.average_precision(rk.roc_frame(scored, "score", label)).first()[0])
+    prepared.unpersist()
+    return candidates[max(range(len(scores)), key=lambda i: (scores[i], -i))], scores
+
+
+def out_of_fold(df: DataFrame, key: str, features: Sequence[str], folds: int = 3, kind: str = "logistic", label: str = "y", **params: object) -> DataFrame:
+    """Scores from models that never saw the row: folds by a hash of the key; adds attack_probability."""
+    held = df.withColumn("_fold", F.pmod(mix32(F.col(key)), F.lit(folds)))
+    out = None
+    for i in range(folds):
+        part = balance_weights(held.where(F.col("_fold") != i).withColumns({c: F.col(c).cast("double") for c in features}), label)
+        model = Pipeline(stages=[feature_pipeline(features), classifier(kind, label, weightCol="weight", **params)]).fit(part)
+        scored = Bundle(model, Calibrator("none"), {}, list(features)).score(held.where(F.col("_fold") == i).drop("_fold"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def leave_one_class_out(df: DataFrame, label_class: str, benign: str, features: Sequence[str], fpr: float, part: str = "part") -> list[tuple[str, float]]:
+    """Detection of each attack class by a benign-only detector at an FPR budget: (class, share), classes by name."""
+    good = df.where((F.col(label_class) == benign) & (F.col(part) != "test"))
+    model = Mahalanobis.fit(good, features)
+    cut = detector_threshold(good.select(model.score(features).alias("score")), fpr)
+    rows = df.where(F.col(label_class) != benign).groupBy(label_class).agg(F.avg((model.score(features) >= cut).cast("double")).alias("d")).orderBy(label_class).collect()
+    return [(r[label_class], r["d"]) for r in rows]
