@@ -89,4 +89,4 @@ def test_tuning_and_folds(spark):
     oof = ml.out_of_fold(rows, "id", ["a"])
     assert oof.count() == 300 and oof.where("attack_probability >= 0.5 and y = 0 or attack_probability < 0.5 and y = 1").count() < 30
     kinds = spark.range(200).select(F.when(F.col("id") < 150, "ok").when(F.col("id") < 175, "far").otherwise("near").alias("k"), F.when((F.col("id") >= 150) & (F.col("id") < 175), 50.0).otherwise(F.col("id") % 10).alias("a"), F.lit("train").alias("part"))
-    assert ml.leave_one_class_out(kinds, "k", "ok", ["a"], 0.01) == [("far", 1.0), ("near", 0.0)]
+    assert ml.leave_one_class_out(kinds, "k", "ok", ["a"], 0.01) == [("far", 1.0), ("near", 0.2)]  # the ends of 0..9 tie at the threshold
