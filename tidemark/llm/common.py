@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch: texts may be 100 kB each, so the default of 10,000 is too many.
 ARROW_ROWS = 512
+#: The same for rows of some hundred kB.
+WIDE_ROWS = 32
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,6 +34,16 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = WIDE_ROWS) -> Iterator[None]:
+    """Fewer rows per Arrow batch for what is run inside: rows that carry whole shingle sets are wide."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 

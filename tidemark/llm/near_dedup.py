@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, partitions, session
+from tidemark.llm.common import Scratch, partitions, session, small_batches, trim
 from tidemark.llm.components import connected_components
 
 #: Registers of a sketch, and registers per band: four 16-bit registers are one 64-bit band value.
@@ -188,6 +188,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "fingerprint", "bands"],
             )
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(sketch, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
@@ -222,7 +223,8 @@ def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: s
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    return scratch.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles binary"), f"{name}-sets")
+    with small_batches(docs.sparkSession):
+        return scratch.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles binary"), f"{name}-sets")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -241,7 +243,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     wide = pairs
     for side in ("b", "a"):
         wide = wide.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
+    with small_batches(docs.sparkSession):
+        links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return links
 
@@ -415,6 +418,7 @@ def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: D
     hits = scratch.put(dealt.mapInArrow(compare, schema), "hits")
     sets = _sets(hits.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "hits")
     full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
-    links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
+    with small_batches(spark):
+        links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
     scratch.drop("hits", "hits-sets", "hits-ids", "held", "split")
     return links
