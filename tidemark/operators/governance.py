@@ -86,12 +86,15 @@ def verify(chain: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     return out.withColumn("ok", F.col("failure").isNull())
 
 
-def merkle_levels(leaves: DataFrame, by: str, order: str, leaf: str, depth: int) -> DataFrame:
+def merkle_levels(leaves: DataFrame, by: str, order: str, leaf: str, depth: int = 0) -> DataFrame:
     """Root of each group's Merkle tree over its leaves in order; an odd node rises unchanged.
 
     Nodes of a level are grouped by halves of their place, so every level is one
-    aggregation; ``depth`` levels serve up to 2**depth leaves.
+    aggregation. The largest group's leaves are counted first, and there are as
+    many levels as it needs, ``depth`` at least.
     """
+    most = leaves.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    depth = max(depth, (most - 1).bit_length())
     place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
     nodes = leaves.select(by, place.cast("long").alias("i"), F.col(leaf).alias("h"))
     for _ in range(depth):

@@ -90,8 +90,8 @@ def ledger_verify(t: Tables) -> DataFrame:
 t AS (SELECT g, d, list(h ORDER BY i) AS hs FROM l GROUP BY g, d UNION ALL SELECT g, d + 1, [CASE WHEN 2 * k + 2 <= len(hs) THEN sha256(hs[2 * k + 1] || hs[2 * k + 2]) ELSE hs[2 * k + 1] END for k in range((len(hs) + 1) // 2)] FROM t WHERE len(hs) > 1)
 SELECT g AS o_orderpriority, hs[1] AS root FROM t WHERE len(hs) = 1""")
 def merkle_roots(t: Tables) -> DataFrame:
-    leaves = t.orders.where("o_orderkey < 700").withColumn("leaf", F.sha2(F.col("o_orderkey").cast("string"), 256))
-    return gv.merkle_levels(leaves, "o_orderpriority", "o_orderkey", "leaf", 10)
+    leaves = t.orders.withColumn("leaf", F.sha2(F.col("o_orderkey").cast("string"), 256))
+    return gv.merkle_levels(leaves, "o_orderpriority", "o_orderkey", "leaf")
 
 
 # --- learning -----------------------------------------------------------------------------------
