@@ -44,3 +44,15 @@ def test_one_merkle_root_a_group(spark, n):
 
 def test_merkle_roots(spark):
     assert rows(catalogue.QUERIES["merkle_roots"](spark, SF)) == uncut("merkle_roots", " WHERE o_orderkey < 700")
+
+
+def test_ledger_heads(spark):
+    assert rows(catalogue.QUERIES["ledger_heads"](spark, SF)) == uncut("ledger_heads", " WHERE user_id < 40")
+
+
+def test_ledger_verify(spark):
+    assert rows(catalogue.QUERIES["ledger_verify"](spark, SF)) == uncut("ledger_verify", " WHERE user_id < 40")
+
+
+def test_online_pvalues(spark):
+    assert rows(catalogue.QUERIES["online_pvalues"](spark, SF)) == uncut("online_pvalues", " WHERE user_id < 30")

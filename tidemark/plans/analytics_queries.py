@@ -66,7 +66,7 @@ def kll_quantile(t: Tables) -> DataFrame:
 
 
 def _ledger(t: Tables) -> DataFrame:
-    return gv.seal(t.events.where("user_id < 40"), "user_id", "event_id", "props", "ts")
+    return gv.seal(t.events, "user_id", "event_id", "props", "ts")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0'), '0') END AS st, sha256(replace(props, ' ', '')) AS ph FROM events WHERE user_id < 40),

@@ -137,8 +137,7 @@ def best_threshold_reward(t: Tables) -> DataFrame:
 
 @query(f"""WITH {EV}, n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev WHERE user_id < 30), c AS (SELECT a.event_id, a.n, count(*) FILTER (b.value > a.value) AS gt, count(*) FILTER (b.value = a.value) AS eq FROM n a JOIN n b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY ALL) SELECT event_id, round((gt + 0.5 * eq) / n, 6) AS p FROM c""")
 def online_pvalues(t: Tables) -> DataFrame:
-    e = ev(t).where("user_id < 30")
-    return r6(el.online_pvalues(e, ["user_id"], ["ts", "event_id"], "value", F.lit(0.5)).select("event_id", "p"))
+    return r6(el.online_pvalues(ev(t), ["user_id"], ["ts", "event_id"], "value", F.lit(0.5)).select("event_id", "p"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, (o_orderkey % 7) / 7::DOUBLE - (o_custkey % 5) / 5::DOUBLE AS v FROM orders), x AS (SELECT b, v, ((o_orderkey * 2654435761 + b * 40503 * 5 + (o_orderkey % 1009) * b * 7919) % 4294967296) / 4294967296::DOUBLE AS u FROM d, (SELECT unnest(range(1, 41)) AS b)),
