@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import cell
 
+from tidemark.functions import scalar as sc
 from tidemark.operators import governance as gv
 from tidemark.plans import catalogue
 
@@ -56,3 +57,16 @@ def test_ledger_verify(spark):
 
 def test_online_pvalues(spark):
     assert rows(catalogue.QUERIES["online_pvalues"](spark, SF)) == uncut("online_pvalues", " WHERE user_id < 30")
+
+
+def test_port_services(spark, tmp_path):
+    """Every port counts, those of the service table above 100 too."""
+    ports = [*sc.SERVICES, 99, 100, 999, 9999]
+    base = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    base.withColumn("l_suppkey", F.array(*map(F.lit, ports))[(F.col("l_orderkey") % len(ports)).cast("int")].cast("long")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["l_suppkey"]: r["service"] for r in catalogue.QUERIES["port_services"](spark, str(tmp_path)).collect()}
+    assert got == {p: sc.SERVICES.get(p, sc.OTHER_SERVICE) for p in ports}
+
+
+def test_lateral_chains(spark):
+    assert rows(catalogue.QUERIES["lateral_chains"](spark, SF)) == uncut("lateral_chains", " WHERE s_suppkey < 12", " WHERE s_suppkey < 20")

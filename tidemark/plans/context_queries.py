@@ -58,8 +58,8 @@ e AS (SELECT DISTINCT (CASE WHEN a < 30 THEN '203.0.113.' ELSE '10.0.0.' END) ||
 
 def _hosts(t: Tables) -> DataFrame:
     s = t.supplier
-    first = s.where("s_suppkey < 12").select(F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") * 3 + F.col("s_suppkey")) % 9 + 30).alias("b"))
-    second = s.where("s_suppkey < 20").select(((F.col("s_nationkey") + F.col("s_suppkey")) % 9 + 30).alias("a"), ((F.col("s_nationkey") * 5 + F.col("s_suppkey")) % 9 + 30).alias("b"))
+    first = s.select(F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") * 3 + F.col("s_suppkey")) % 9 + 30).alias("b"))
+    second = s.select(((F.col("s_nationkey") + F.col("s_suppkey")) % 9 + 30).alias("a"), ((F.col("s_nationkey") * 5 + F.col("s_suppkey")) % 9 + 30).alias("b"))
     e = first.union(second)
     src = F.concat(F.when(F.col("a") < 30, "203.0.113.").otherwise("10.0.0."), F.col("a").cast("string"))
     return cx.adjacency(e.select(src.alias("s"), F.concat(F.lit("10.0.0."), F.col("b").cast("string")).alias("d")), "s", "d")
@@ -269,7 +269,7 @@ def unlearning_shards(t: Tables) -> DataFrame:
 
 @query(f"""WITH {LI} SELECT l_suppkey, CASE WHEN l_suppkey IN (20, 21) THEN 'ftp' WHEN l_suppkey = 22 THEN 'ssh' WHEN l_suppkey = 23 THEN 'telnet' WHEN l_suppkey = 25 THEN 'smtp' WHEN l_suppkey = 53 THEN 'dns' WHEN l_suppkey = 80 THEN 'http' ELSE 'other/ephemeral' END AS service, count(*) AS n FROM li WHERE l_suppkey < 100 GROUP BY ALL""")
 def port_services(t: Tables) -> DataFrame:
-    return li(t).where("l_suppkey < 100").groupBy("l_suppkey", sc.service_of(F.col("l_suppkey")).alias("service")).agg(F.count(F.lit(1)).alias("n"))
+    return li(t).groupBy("l_suppkey", sc.service_of(F.col("l_suppkey")).alias("service")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_id, round(sign(value - 50) * ln(1 + abs(value - 50)), 6) AS signed, round(sign(value - 50) * (exp(abs(sign(value - 50) * ln(1 + abs(value - 50)))) - 1), 4) AS back,
