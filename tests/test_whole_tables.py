@@ -70,3 +70,18 @@ def test_port_services(spark, tmp_path):
 
 def test_lateral_chains(spark):
     assert rows(catalogue.QUERIES["lateral_chains"](spark, SF)) == uncut("lateral_chains", " WHERE s_suppkey < 12", " WHERE s_suppkey < 20")
+
+
+def test_crowding_distance(spark):
+    assert rows(catalogue.QUERIES["crowding_distance"](spark, SF)) == uncut("crowding_distance", " WHERE s_suppkey < 30")
+
+
+def test_interaction_h(spark):
+    assert rows(catalogue.QUERIES["interaction_h"](spark, SF)) == uncut("interaction_h", " WHERE p_partkey < 40")
+
+
+def test_knn_shapley(spark):
+    """Each embedding has a value, as a training row and with all others as queries."""
+    got = catalogue.QUERIES["knn_shapley"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert rows(got) == uncut("knn_shapley", " WHERE r <= 20")

@@ -157,16 +157,23 @@ def exemplars(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")
 
 
+def ranked(index: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
+    """All rows of the index but the query itself by Euclidean distance from each query, ties by key: query, neighbour, distance, rank.
+
+    As many rows as pairs; an index that is small should be broadcast.
+    """
+    small = index.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v"))
+    square = F.aggregate(F.zip_with(vector, "_v", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
+    near = queries.crossJoin(small).where(F.col(key) != F.col("neighbour")).select(F.col(key).alias("query"), "neighbour", F.sqrt(square).alias("distance"))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     """Exact k nearest rows of a small index for each query, by Euclidean distance, ties by key.
 
     The index (a bounded set of exemplars) is broadcast; queries stay where they are.
     """
-    small = F.broadcast(index.select(F.col(key).alias("neighbour"), F.col(vector).alias("_v")))
-    square = F.aggregate(F.zip_with(vector, "_v", lambda a, b: F.pow(a.cast("double") - b.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x)
-    near = queries.crossJoin(small).where(F.col(key) != F.col("neighbour")).select(F.col(key).alias("query"), "neighbour", F.sqrt(square).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return ranked(F.broadcast(index), queries, key, vector).where(F.col("rank") <= k)
 
 
 def knn_shapley(near: DataFrame, k: int) -> DataFrame:

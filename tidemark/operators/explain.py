@@ -94,14 +94,30 @@ def anchor(background: DataFrame, bins: Mapping[str, int], target: str, wanted:
     return {"features": chosen, "precision": h / n if n else 0.0, "coverage": n / total if total else 0.0, "lower": bound(h, n)}
 
 
+def _dependence(df: DataFrame, points: DataFrame, at: Mapping[str, str], features: Sequence[str], model: Model, name: str) -> DataFrame:
+    """Mean of the model over ``df`` with the features of ``at`` set to each distinct value of the points' columns.
+
+    Rows of ``df`` that are equal in the other features are computed once.
+    """
+    rest = df.groupBy(*[F.col(c) for c in features if c not in at]).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = points.select(*at.values()).distinct()
+    out = wanted.crossJoin(rest).withColumn("_m", model(_inputs(features, **{c: F.col(v) for c, v in at.items()})))
+    return out.groupBy(*at.values()).agg((F.sum(F.col("_m") * F.col("_n")) / F.sum(F.when(F.col("_m").isNotNull(), F.col("_n")))).alias(name))
+
+
 def h_statistic(df: DataFrame, sample: DataFrame, a: str, b: str, features: Sequence[str], model: Model) -> DataFrame:
     """Friedman's interaction of two features: the share of their joint dependence that the sum of single ones misses.
 
-    ``sample`` holds the points (columns a, b) and is small; the mean is over ``df``.
+    ``sample`` holds the points (columns a, b), ``df`` itself for the whole
+    table; the mean is over ``df``. The work is distinct points times distinct
+    rows of the features that they don't set.
     """
-    points = sample.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    at = lambda **to: F.avg(model(_inputs(features, **to)))
-    pd = df.crossJoin(F.broadcast(points)).groupBy("_i").agg(at(**{a: F.col("_a"), b: F.col("_b")}).alias("jk"), at(**{a: F.col("_a")}).alias("j"), at(**{b: F.col("_b")}).alias("k"))
+    points = sample.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    pd = points
+    for at, name in (({a: "_a", b: "_b"}, "jk"), ({a: "_a"}, "j"), ({b: "_b"}, "k")):
+        found = _dependence(df, points, at, features, model, name).withColumnsRenamed({v: f"{v}_" for v in at.values()})
+        same = [F.col(v).eqNullSafe(F.col(f"{v}_")) for v in at.values()]
+        pd = pd.join(found, same, "left").drop(*[f"{v}_" for v in at.values()])
     mean = pd.agg(F.avg("jk").alias("m"), F.avg("j").alias("mj"), F.avg("k").alias("mk"))
     c = pd.crossJoin(F.broadcast(mean)).select((F.col("jk") - F.col("m")).alias("x"), (F.col("j") - F.col("mj")).alias("y"), (F.col("k") - F.col("mk")).alias("z"))
     num, den = F.sum(F.pow(F.col("x") - F.col("y") - F.col("z"), 2)), F.sum(F.pow("x", 2))

@@ -196,7 +196,7 @@ def pareto_front(t: Tables) -> DataFrame:
 @query("""WITH f AS (SELECT s_suppkey, s_nationkey::DOUBLE AS a, s_acctbal AS b FROM supplier WHERE s_suppkey < 30), c AS (SELECT s_suppkey, CASE WHEN lag(a) OVER x IS NULL OR lead(a) OVER x IS NULL THEN 'inf'::DOUBLE ELSE (lead(a) OVER x - lag(a) OVER x) / (max(a) OVER () - min(a) OVER ()) END AS p, CASE WHEN lag(b) OVER y IS NULL OR lead(b) OVER y IS NULL THEN 'inf'::DOUBLE ELSE (lead(b) OVER y - lag(b) OVER y) / (max(b) OVER () - min(b) OVER ()) END AS q FROM f WINDOW x AS (ORDER BY a, s_suppkey), y AS (ORDER BY b, s_suppkey))
 SELECT s_suppkey, CASE WHEN isinf(p + q) THEN 'inf'::DOUBLE ELSE round(p + q, 6) END AS crowding FROM c""")
 def crowding_distance(t: Tables) -> DataFrame:
-    f = t.supplier.where("s_suppkey < 30").select("s_suppkey", F.col("s_nationkey").cast("double").alias("a"), F.col("s_acctbal").alias("b"))
+    f = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("double").alias("a"), F.col("s_acctbal").alias("b"))
     c = F.col("crowding")
     return ln.crowding(f, ["a", "b"], "s_suppkey").select("s_suppkey", F.when(c == float("inf"), c).otherwise(F.round(c, 6)).alias("crowding"))
 

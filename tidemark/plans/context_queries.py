@@ -150,7 +150,7 @@ s AS (SELECT *, CASE WHEN nx IS NULL THEN m / n::DOUBLE ELSE (m - nx) / 5::DOUBL
 SELECT neighbour, round(avg(v), 6) AS value FROM v GROUP BY neighbour""")
 def knn_shapley(t: Tables) -> DataFrame:
     labels = t.embeddings.select("vec_id", "label")
-    near = _near(t, 1 << 20).join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query").join(labels.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("xl")), "neighbour")
+    near = cx.ranked(t.embeddings, t.embeddings, "vec_id", "embedding").join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query").join(labels.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("xl")), "neighbour")
     return r6(cx.knn_shapley(near.withColumn("match", (F.col("ql") == F.col("xl")).cast("int")), 5))
 
 
