@@ -13,6 +13,7 @@ from test_queries import cell
 
 from tidemark.functions import scalar as sc
 from tidemark.operators import governance as gv
+from tidemark.operators import inference as nf
 from tidemark.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -85,3 +86,18 @@ def test_knn_shapley(spark):
     got = catalogue.QUERIES["knn_shapley"](spark, SF)
     assert got.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert rows(got) == uncut("knn_shapley", " WHERE r <= 20")
+
+
+def test_neyman_pearson(spark, tmp_path):
+    """The admissible count is that of the benign rows there are; too few of them admit no threshold."""
+    con = duckdb.connect()
+    benign = f"(SELECT (round(l_discount * 100) * 10 + round(l_tax * 100)) / 108::DOUBLE AS score FROM '{SF}/lineitem.parquet' WHERE l_returnflag <> 'R')"
+    ((n,),) = con.execute(f"SELECT count(*) FROM {benign}").fetchall()
+    m = nf.np_admissible_count(n, 0.05, 0.1)
+    want = con.execute(f"SELECT round(score, 6) FROM {benign} ORDER BY score DESC LIMIT 1 OFFSET {m}").fetchone()[0]
+    got = catalogue.QUERIES["neyman_pearson"](spark, SF).first()["threshold"]
+    assert got == want < 1
+    fpr = con.execute(f"SELECT avg((round(score, 6) > {got})::INT) FROM {benign}").fetchone()[0]
+    assert 0.04 < fpr <= 0.05
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_returnflag <> 'R'").limit(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert catalogue.QUERIES["neyman_pearson"](spark, str(tmp_path)).first()["threshold"] == float("inf")

@@ -207,8 +207,10 @@ def np_admissible_count(n: int, alpha: float, delta: float) -> int | None:
     return best
 
 
-def threshold_from_count(df: DataFrame, score: str, m: int) -> DataFrame:
-    """The (m + 1)-th largest score: a strict comparison lets m rows through."""
+def threshold_from_count(df: DataFrame, score: str, m: int | None) -> DataFrame:
+    """The (m + 1)-th largest score: a strict comparison lets m rows through. Without an admissible m (null), infinite."""
+    if m is None:
+        return df.agg(F.lit(float("inf")).alias("threshold"))
     ties = df.groupBy(F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("m"))
     ran = cumulative(ties, "score", ["m"], descending=True)
     return ran.agg(F.max(F.when(F.col("cum_m") > m, F.col("score"))).alias("threshold"))

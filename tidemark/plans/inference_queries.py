@@ -167,7 +167,8 @@ def crc_threshold(t: Tables) -> DataFrame:
 
 @query(f"WITH {LI} SELECT round(score, 6) AS threshold FROM li WHERE y = 0 ORDER BY score DESC LIMIT 1 OFFSET {nf.np_admissible_count(2000, 0.05, 0.1)}")
 def neyman_pearson(t: Tables) -> DataFrame:
-    return r6(nf.threshold_from_count(li(t).where("y = 0"), "score", nf.np_admissible_count(2000, 0.05, 0.1)))
+    benign = li(t).where("y = 0 and score is not null")
+    return r6(nf.threshold_from_count(benign, "score", nf.np_admissible_count(benign.count(), 0.05, 0.1)))
 
 
 @query(f"WITH {EV}, u AS (SELECT unnest([50, 100, 150])::DOUBLE AS threshold) SELECT threshold, round(avg(value - threshold), 6) AS mean_excess, count(*) AS n FROM ev, u WHERE value > threshold GROUP BY threshold")
