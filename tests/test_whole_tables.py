@@ -7,6 +7,7 @@ SQL stays as it is.
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import cell
@@ -101,3 +102,15 @@ def test_neyman_pearson(spark, tmp_path):
     assert 0.04 < fpr <= 0.05
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_returnflag <> 'R'").limit(5).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert catalogue.QUERIES["neyman_pearson"](spark, str(tmp_path)).first()["threshold"] == float("inf")
+
+
+def test_pca_residual(spark, tmp_path):
+    """Each component counts: an outlier in the last one stands out, and scores are those of numpy."""
+    x = np.random.default_rng(3).normal(size=(300, 64)) * np.r_[[9.0, 8.0, 7.0, 6.0], np.ones(60)]
+    x[17, 63] += 40
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r["score"] for r in catalogue.QUERIES["pca_residual"](spark, str(tmp_path)).collect()}
+    gap = x - x.mean(axis=0)
+    basis = np.linalg.svd(gap, full_matrices=False)[2][:4]
+    want = np.linalg.norm(gap - gap @ basis.T @ basis, axis=1)
+    assert max(got, key=got.get) == 17 and np.allclose([got[i] for i in range(300)], want, atol=1e-5)

@@ -130,10 +130,21 @@ class PcaResidual:
         return PcaResidual(mean, PCA(k=k, inputCol="v", outputCol="p").fit(rows).pc.toArray())
 
     def score(self, features: Sequence[str]) -> Column:
-        gap = [F.col(c).cast("double") - float(m) for c, m in zip(features, self.mean, strict=True)]
-        parts = [sum((float(self.basis[i, j]) * g for i, g in enumerate(gap)), F.lit(0.0)) for j in range(self.basis.shape[1])]
-        back = [sum((float(self.basis[i, j]) * p for j, p in enumerate(parts)), F.lit(0.0)) for i in range(len(gap))]
-        return F.sqrt(sum((F.pow(g - b, 2) for g, b in zip(gap, back, strict=True)), F.lit(0.0)))
+        gap = F.array(*[F.col(c).cast("double") - float(m) for c, m in zip(features, self.mean, strict=True)])
+        axes, rows = (F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in m]) for m in (self.basis.T, self.basis))
+
+        def total(parts: Column) -> Column:
+            return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+
+        def dot(a: Column, b: Column) -> Column:
+            return total(F.zip_with(a, b, lambda x, y: x * y))
+
+        # arrays of one element, so that the row's gaps and parts are worked out once and not for each feature
+        def length(g: Column) -> Column:
+            parts = F.array(F.transform(axes, lambda axis: dot(g, axis)))
+            return F.transform(parts, lambda p: F.sqrt(total(F.zip_with(g, rows, lambda x, r: F.pow(x - dot(r, p), 2)))))[0]
+
+        return F.transform(F.array(gap), length)[0]
 
 
 @dataclass

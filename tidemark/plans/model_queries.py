@@ -30,8 +30,9 @@ def mahalanobis(t: Tables) -> DataFrame:
 
 @query()
 def pca_residual(t: Tables) -> DataFrame:
-    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
-    names = [f"e{i}" for i in range(16)]
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"e{i}" for i in range(width)]
+    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     return r6(wide.select("vec_id", ml.PcaResidual.fit(wide, names, 4).score(names).alias("score")))
 
 
