@@ -81,6 +81,23 @@ def test_odd_conversations(spark):
     assert chat.format_trees(chat.linear_trees(turns.limit(0)), Scratch(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_turns_without_an_id_are_one_conversation(spark, broadcast):
+    rows = [(None, 2, "assistant", "b"), (None, 1, "user", "a"), (0, 1, "user", "c"), (None, 3, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        out = {r.tree: r.formatted for r in chat.format_trees(chat.linear_trees(turns), Scratch(spark, "t")).collect()}
+        trees = [(None, 1, None, 0.0), (None, 2, 1, 1.0), (None, 3, 1, 2.0), (None, 4, 3, None), (0, 1, None, 0.0)]
+        paths = chat.ranked_paths(spark.createDataFrame(trees, "tree long, node long, parent long, score double"), Scratch(spark, "t"), keep=None)
+        got = sorted(((r.tree is None, r["rank"], r.pos, r.node) for r in paths.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert out == {None: chat.render([("user", "a"), ("assistant", "b"), ("user", None)])[0], 0: chat.render([("user", "c")])[0]}
+    assert got == [(False, 1, 0, 1), (True, 1, 0, 1), (True, 1, 1, 3), (True, 1, 2, 4), (True, 2, 0, 1), (True, 2, 1, 2)]
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""

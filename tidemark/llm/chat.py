@@ -67,11 +67,17 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def join_in_tree(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on (tree, key); a null tree is a tree like any other."""
+    other = right.withColumnsRenamed({"tree": "_tree", key: "_key"})
+    return left.join(other, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(key) == F.col("_key")), how).drop("_tree", "_key")
+
+
 def linear_trees(turns: DataFrame, tree: str = "conv_id", order: tuple[str, ...] = ("turn", "role", "text")) -> DataFrame:
     """Conversations as trees of one branch: node numbers follow the turns, each replies to the one before.
 
     Equal turns are ordered by role and text, so repeated rows are turns of
-    their own. Returns tree, node, parent, role, text, score (0).
+    their own. Turns without an id form one conversation. Returns tree, node, parent, role, text, score (0).
     """
     place = F.row_number().over(Window.partitionBy(tree).orderBy(*order)).cast("long")
     return turns.select(F.col(tree).cast("long").alias("tree"), place.alias("node"), "role", "text").withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
@@ -88,12 +94,13 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
     from the longest jump to the shortest, so the output is as long as the
     chosen paths and no node ever carries its whole path.
 
-    A parent that isn't in the tree makes a root. Nodes on a cycle, or below
+    A parent that isn't in the tree makes a root. Nodes whose tree is null are one
+    tree. Nodes on a cycle, or below
     one, have no root and so no path. Rows that repeat (tree, node) should be
     made distinct before.
     """
     known = nodes.select("tree", F.col("node").alias("parent"))
-    base = nodes.join(known.withColumn("found", F.lit(True)), ["tree", "parent"], "left")
+    base = join_in_tree(nodes, known.withColumn("found", F.lit(True)), "parent", "left")
     at = scratch.put(
         base.select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth")),
         "jump-0",
@@ -105,7 +112,7 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
         # only nodes that still look for their root are joined; the others are looked up
         todo = at.where("up is not null")
         far = ended.unionByName(todo).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        wide = todo.join(far, ["tree", "up"])
+        wide = join_in_tree(todo, far, "up")
         at = scratch.put(wide.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), f"jump-{len(jumps)}")
         ended = ended.unionByName(at.where("up is null"))
         left = at.where("up is not null").count()
@@ -113,7 +120,7 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
         if left == open_:  # no node has its root in this distance, so none has one farther up: cycles are left
             break
         open_ = left
-    leaves = ended.join(jumps[0].where("up is not null").select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
+    leaves = join_in_tree(ended, jumps[0].where("up is not null").select("tree", F.col("up").alias("node")), "node", "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node"))
     best = leaves.withColumn("rank", rank)
     if keep is not None:
@@ -121,7 +128,7 @@ def ranked_paths(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
     path = scratch.put(best.select("tree", "rank", "node", (F.col("depth") - 1).alias("pos")), f"path-{len(jumps)}")
     for k in range(len(jumps) - 1, -1, -1):
         hop = jumps[k].where("up is not null").select("tree", "node", "up")
-        more = path.join(hop, ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
+        more = join_in_tree(path, hop, "node").select("tree", "rank", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
         path = scratch.put(path.unionByName(more), f"path-{k}")
         scratch.drop(f"path-{k + 1}", f"jump-{k}")
     return path
@@ -137,7 +144,7 @@ def format_trees(nodes: DataFrame, scratch: Scratch, keep: int | None = 1) -> Da
     session(nodes)
     nodes = nodes.select("tree", "node", "parent", "score", "role", "text")
     paths = ranked_paths(nodes, scratch, keep)
-    turns = paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    turns = join_in_tree(paths, nodes.select("tree", "node", "role", "text"), "node")
     whole = turns.groupBy("tree", "rank").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
