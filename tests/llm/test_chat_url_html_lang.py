@@ -130,6 +130,21 @@ def test_model_generalises_to_unseen_urls(spark, sf_dir):
     assert len(rows) == table(spark, sf_dir, "pages").count()
 
 
+def test_model_on_held_out_host_names():
+    """No URL of a judged name is trained on: five folds of the names, then the names that the given pages have."""
+    names = (url_filter._BAD, url_filter._GOOD)
+    folds = [{n for side in names for n in side[f::5]} for f in range(5)]
+    given = {*url_filter._BAD[:6], "tionsh", "ththen"}
+    right = {}
+    for out in (*folds, given):
+        held = [bool(out.intersection(h.split("."))) for h, _, _ in url_filter.LABELLED]
+        w, b = url_filter.train([x for x, o in zip(url_filter.LABELLED, held, strict=True) if not o])
+        judged = [(h, p, y) for (h, p, y), o in zip(url_filter.LABELLED, held, strict=True) if o]
+        right.setdefault(out is given, []).extend((w[f].sum() / len(f) ** 0.5 + b >= 0) == bool(y) for h, p, y in judged for f in [url_filter.features(h, p)])
+    assert (len(right[False]), len(right[True])) == (240, 48)
+    assert sum(right[False]) >= 0.95 * 240 and sum(right[True]) >= 0.9 * 48
+
+
 def test_crf_on_held_out_templates():
     model = html_extract.trained()
     errors = total = 0
