@@ -30,6 +30,13 @@ def test_filter_keeps_one_row_of_each_group_with_all_columns(spark):
     assert drop_exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_work_columns_do_not_touch_the_callers(spark):
+    df = spark.createDataFrame([(1, "a", "x", "y", "z"), (2, "A", "x", "y", "z")], ["doc_id", "text", "_xd_text", "_XD_HASH", "_xd_keep"])
+    assert [tuple(r) for r in drop_exact_duplicates(df).collect()] == [(1, "a", "x", "y", "z")]
+    odd = df.select(df["doc_id"].alias("_xd_text"), df["text"].alias("_xd_id"))
+    assert sorted(tuple(r)[:4] for r in duplicate_groups(odd, "_xd_text", "_xd_id").collect()) == [(1, 1, 2, True), (2, 1, 2, False)]
+
+
 def test_no_python_on_the_executors(docs):
     for df in (duplicate_groups(docs(ROWS)), drop_exact_duplicates(docs(ROWS))):
         plan = df._jdf.queryExecution().executedPlan().toString()

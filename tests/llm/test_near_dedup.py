@@ -75,6 +75,8 @@ def test_borderline_group_loses_no_link(docs):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d", 1, 2), (2, "a b c d", 3, 4)], "doc_id long, text string, rep long, kept int")
     assert [tuple(r) for r in near_dedup.drop_near_duplicates(df).collect()] == [(1, "a b c d", 1, 2)]
+    df = df.withColumnsRenamed({"rep": "_gone", "kept": "a.b"})
+    assert [tuple(r) for r in near_dedup.drop_near_duplicates(df).collect()] == [(1, "a b c d", 1, 2)]
 
 
 def test_whole_small_table(spark, sf_dir):

@@ -115,6 +115,22 @@ def test_prefixes_of_seeded_epochs(spark, docs):
     assert mixing.mix(docs([]), levels, {}).count() == 0
 
 
+def test_mixture_with_clashing_columns(docs):
+    rows = [(i, "a b c", "en", "src1", 0) for i in range(6)]
+    wide = docs(rows)
+    names = ("mix_tokens", "MIX_EPOCH", "_mix_domain", "_mixed_key", "_mixed_rest", "tokens", "a.b")
+    for n in names:
+        wide = wide.withColumn(n, F.concat(F.lit(n), "doc_id"))
+    alone = mixing.mix(wide, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS, annotate=False)
+    assert alone.columns == wide.columns and alone.count() == 6
+    assert all(r[n] == f"{n}{r.doc_id}" for r in alone.collect() for n in names)
+    told = mixing.mix(wide, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS)
+    assert told.columns == [c for c in wide.columns if c not in names[:2]] + ["mix_epoch", "mix_tokens", "mix_taken"]
+    assert {(r.mix_epoch, r.mix_tokens, r["a.b"] == f"a.b{r.doc_id}") for r in told.collect()} == {(0, 3, True)}
+    with pytest.raises(ValueError, match="positive"):
+        mixing.mix(wide, mixing.document_levels(), {("web",): 0})
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kept = {r.doc_id: r for r in docs.collect()}

@@ -39,7 +39,17 @@ def test_elias_fano_round_trip_and_select(values):
     values = sorted(values)
     raw = token_store.ef_encode(np.array(values, dtype=np.uint64))
     assert token_store.ef_decode(raw).tolist() == values
-    assert [token_store.ef_select(raw, i) for i in range(len(values))] == values
+    assert [int(token_store.ef_select(raw, i)[0]) for i in range(len(values))] == values
+    some = np.arange(len(values))[::-3]
+    assert token_store.ef_select(raw, some).tolist() == [values[i] for i in some]
+
+
+@pytest.mark.parametrize("values", [[0], [0] * 500, [2**64 - 1], [0, 2**64 - 1], list(range(1000)), [5] * 70 + [2**63] * 70])
+def test_elias_fano_extremes(values):
+    raw = token_store.ef_encode(np.array(values, dtype=np.uint64))
+    assert token_store.ef_decode(raw).tolist() == values
+    with pytest.raises(IndexError):
+        token_store.ef_select(raw, len(values))
 
 
 def test_elias_fano_is_small():
@@ -47,6 +57,31 @@ def test_elias_fano_is_small():
     assert len(token_store.ef_encode(bounds)) < 10_000 * (3 + np.log2(1500)) / 8
 
 
+def test_boundaries_take_half_of_a_plain_table_at_most(spark, sf_dir, tmp_path):
+    """Against 32-bit boundaries and 64-bit ids, over a whole store."""
+    path = str(tmp_path / "store")
+    token_store.write_token_store(table(spark, sf_dir, "documents"), path, PATH, shards=1)
+    held = token_store.read_token_store(spark, path).select("n_docs", "bounds", "docs").collect()
+    n = sum(r.n_docs for r in held)
+    assert sum(len(r.bounds) for r in held) <= 0.5 * 4 * n + 64 and sum(len(r.docs) for r in held) <= 0.5 * 8 * n + 64
+
+
+@pytest.mark.parametrize("limits", [(40, 1 << 17), (1 << 21, 3)])
+def test_segments_and_lookup(spark, docs, plain, tmp_path, monkeypatch, limits):
+    monkeypatch.setattr(token_store, "SEGMENT_IDS", limits[0])
+    monkeypatch.setattr(token_store, "SEGMENT_DOCS", limits[1])
+    monkeypatch.setattr(token_store, "READ_DOCS", 2)
+    rows = [(i * i - 50, t) for i, t in enumerate(ODD)] + [(-50, "again"), (None, "no id"), (None, "no id"), (2**62, "far"), (-(2**62), "low")]
+    path = str(tmp_path / "store")
+    token_store.write_token_store(docs(rows), path, PATH, end_id=0, shards=2)
+    assert token_store.read_token_store(spark, path).count() > 2  # more than the shards
+    got = token_store.read_documents(spark, path, with_ids=True).collect()
+    assert sorted(map(str, ((r.doc_id, r.ids) for r in got))) == sorted(map(str, ((d, [*plain(t), 0]) for d, t in rows)))
+    asked = [-50, 2**62, 7777, -49, -(2**62)]
+    found = sorted((r.doc_id, r.ids) for r in token_store.lookup(spark, path, asked).collect())
+    assert found == sorted((d, [*plain(t), 0]) for d, t in rows if d in asked)
+
+
 def test_store_round_trip(spark, docs, plain, tmp_path):
     rows = [(7 * i % 101 - 3, t) for i, t in enumerate(ODD)] + [(5, "twice"), (5, "twice"), (None, "no id")]
     path = str(tmp_path / "store")

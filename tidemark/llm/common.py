@@ -6,16 +6,13 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch: texts may be 100 kB each, so the default of 10,000 is too many.
-ARROW_ROWS = 512
-#: The same for rows of some hundred kB.
-WIDE_ROWS = 32
+#: Rows and bytes per Arrow batch, at most: rows may be texts or shingle sets of any length.
+ARROW_ROWS, ARROW_BYTES = 2048, 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,20 +25,33 @@ def trim() -> None:
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The frame's session, with Arrow batches bounded for wide text rows."""
+    """The frame's session, with Arrow batches bounded in rows and bytes.
+
+    Plans read the two settings when they run, so they stay set; a caller's
+    smaller values are left alone.
+    """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = WIDE_ROWS) -> Iterator[None]:
-    """Fewer rows per Arrow batch for what is run inside: rows that carry whole shingle sets are wide."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, whatever its case: the given ones, with underscores in front where they clash."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, safe against dots in names."""
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 def shared_root(spark: SparkSession) -> str:

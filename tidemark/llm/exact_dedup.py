@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm.common import ascii_lower, fresh, own
 
 _TEXT, _HASH, _SHA, _KEEP, _SIZE = "_xd_text", "_xd_hash", "_xd_sha", "_xd_keep", "_xd_size"
 
@@ -32,19 +32,19 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if keep not in ("min", "max"):
         raise ValueError("keep must be 'min' or 'max'")
     pick = F.min if keep == "min" else F.max
-    base = docs.select(F.col(id_col), ascii_lower(F.col(text_col)).alias(_TEXT))
-    hashed = base.select(id_col, F.unhex(F.md5(_TEXT)).alias(_HASH), _TEXT)
+    base = docs.select(F.col(id_col).alias("_xd_id"), ascii_lower(F.col(text_col)).alias(_TEXT))
+    hashed = base.select("_xd_id", F.unhex(F.md5(_TEXT)).alias(_HASH), _TEXT)
     classes = (
         hashed.groupBy(_HASH, _TEXT)
-        .agg(pick(id_col).alias(_KEEP), F.count(F.lit(1)).alias(_SIZE))
+        .agg(pick("_xd_id").alias(_KEEP), F.count(F.lit(1)).alias(_SIZE))
         .select(_HASH, F.unhex(F.sha2(_TEXT, 256)).alias(_SHA), _KEEP, _SIZE)
     )
-    rows = base.select(id_col, F.unhex(F.md5(_TEXT)).alias(_HASH), F.unhex(F.sha2(_TEXT, 256)).alias(_SHA))
+    rows = base.select("_xd_id", F.unhex(F.md5(_TEXT)).alias(_HASH), F.unhex(F.sha2(_TEXT, 256)).alias(_SHA))
     return rows.join(classes, [_HASH, _SHA]).select(
-        F.col(id_col),
+        F.col("_xd_id").alias(id_col),
         F.col(_KEEP).alias("keep_id"),
         F.col(_SIZE).alias("group_size"),
-        F.col(id_col).eqNullSafe(F.col(_KEEP)).alias("kept"),
+        F.col("_xd_id").eqNullSafe(F.col(_KEEP)).alias("kept"),
         F.lower(F.hex(_SHA)).alias("text_sha256"),
     )
 
@@ -55,12 +55,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A ranked window over (MD5, normalised text); Spark limits each group to one
     row per task before the shuffle, so a hot group stays small. Rows that tie
     in the id are ordered by their other columns' hash, and rows equal in every
-    column are interchangeable. Null ids go last.
+    column are interchangeable. Null ids go last. Columns of any name are kept
+    as they are.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep must be 'min' or 'max'")
     order = F.col(id_col).asc_nulls_last() if keep == "min" else F.col(id_col).desc_nulls_last()
-    work = docs.withColumn(_TEXT, ascii_lower(F.col(text_col))).withColumn(_HASH, F.unhex(F.md5(_TEXT)))
+    text, digest, place = fresh(docs, _TEXT, _HASH, _KEEP)
+    work = docs.withColumn(text, ascii_lower(F.col(text_col))).withColumn(digest, F.unhex(F.md5(text)))
     tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])
-    ranked = work.withColumn(_KEEP, F.row_number().over(Window.partitionBy(_HASH, _TEXT).orderBy(order, tie)))
-    return ranked.where(F.col(_KEEP) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ranked = work.withColumn(place, F.row_number().over(Window.partitionBy(digest, text).orderBy(order, tie)))
+    return ranked.where(F.col(place) == 1).select(*own(docs))

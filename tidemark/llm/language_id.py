@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.common import session
+from tidemark.llm.common import fresh, own, session
 
 #: Families of languages by code; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -29,7 +30,7 @@ SAMPLE = 500
 REJECT_BELOW = 0.3
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_CANDIDATE = re.compile(r"[^\W\d_]")  # letters, and numbers such as fractions and Roman numerals
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 _letters: np.ndarray | None = None
 
@@ -43,7 +44,8 @@ def _letter_table() -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a letter: a character of Unicode's category L, which is what ``isalpha`` and ``\\p{L}`` say."""
+    return bool(text) and any(m[0].isalpha() for m in _CANDIDATE.finditer(text))
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +218,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A map over whole texts without a shuffle; the weights (32 kB a classifier)
     travel with the tasks. A text that is null or has no letter, or any text if
-    no language was learned, gets 'und' with score 0. Columns called lang_pred
-    or score are replaced.
+    no language was learned, gets 'und' with score 0. A caller's columns of
+    these two names are replaced; :func:`reject` keeps them.
     """
+    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
+    return _label(docs.drop(*clash), model, text_col, "lang_pred", "score")
+
+
+def _label(docs: DataFrame, model: Model, text_col: str, pred_col: str, score_col: str) -> DataFrame:
+    """``docs`` and two more columns, whose names it must not have."""
     session(docs)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    work = docs.select(*[F.col(f"`{c}`") for c in keep])
-    at = keep.index(text_col)
+    keep = [*docs.columns, pred_col, score_col]
+    work = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be handed to Python
+    at = docs.columns.index(text_col)
+    schema = StructType([*work.schema.fields, StructField("pred", StringType()), StructField("score", DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,12 +240,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for i, (name, p) in zip(good, model.predict([texts[i] for i in good]), strict=True):
                 lang[i], score[i] = name, p
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*work.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return work.mapInArrow(label, schema)
+    return work.mapInArrow(label, schema).toDF(*keep)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -245,12 +251,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Train on the rows that aren't held out, predict every row: all columns, held_out, lang_pred, score."""
+    """Train on the rows that aren't held out, predict every row: all columns, held_out, lang_pred, score.
+
+    A caller's columns of these three names are replaced.
+    """
     out = held_out(F.col(id_col))
-    return predict(docs, train(docs, ~out, sample, id_col=id_col, text_col=text_col, lang_col=lang_col), text_col).withColumn("held_out", out)
+    model = train(docs, ~out, sample, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    return predict(docs.drop(*[c for c in docs.columns if c.lower() == "held_out"]), model, text_col).withColumn("held_out", out)
 
 
 def reject(docs: DataFrame, below: float = REJECT_BELOW, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents with a language, with their own columns: 'und' and scores under ``below`` go."""
-    found = identify(docs, sample, id_col, text_col, lang_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= below)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with a language, with their own columns: 'und' and scores under ``below`` go.
+
+    The verdict's columns have names that ``docs`` hasn't, so a caller's own
+    ``score``, ``lang_pred`` or ``held_out`` stay as they are.
+    """
+    model = train(docs, ~held_out(F.col(id_col)), sample, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    pred, score = fresh(docs, "lang_pred", "score")
+    found = _label(docs, model, text_col, pred, score)
+    return found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= below)).select(*own(docs))

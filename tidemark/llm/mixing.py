@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, fresh
 
 #: Leaves that are broadcast at most; beyond it the join shuffles on the leaf.
 BROADCAST_LEAVES = 100_000
@@ -116,7 +116,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_LEAVES else df
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, int], total: int | None = None, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, int], total: int | None = None, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", annotate: bool = True) -> DataFrame:
     """The mixture: all columns of ``docs`` and mix_epoch, mix_tokens, mix_taken, one row per document and epoch.
 
     ``levels`` names the tree's levels from the root down, each with its
@@ -128,24 +128,36 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple, i
 
     Documents without tokens come once per whole epoch. Rows that repeat an id
     are rows of their own; where such rows tie at the end of a prefix, all of
-    them are in it. An empty table gives an empty result.
+    them are in it. An empty table gives an empty result. Work columns have
+    names that ``docs`` hasn't; a caller's columns called mix_epoch, mix_tokens
+    or mix_taken are replaced, and kept with ``annotate=False``, which gives the
+    columns of ``docs`` alone.
     """
+    if max_epochs < 1 or not all(int(w) > 0 for w in weights.values()):
+        raise ValueError("max_epochs and all weights must be positive")
     scratch = Scratch(docs.sparkSession, "mix")
+    outputs = ("mix_epoch", "mix_tokens", "mix_taken")
+    kept = [c for c in docs.columns if not annotate or c.lower() not in outputs]
     names = [f"_mix_{k}" for k in levels]
+    end = ("epochs", "rest", "end_key", "end_id", "end_start")
+    work_names = fresh(docs, *names, *[f"_mixed_{c}" for c in (*end, "key", "last", "epoch", "tokens")])
+    level_names, (epochs, rest, end_key, end_id, end_start, key, last, epoch, tokens) = work_names[: len(names)], work_names[len(names) :]
     paths = {tuple(p): w for p, w in weights.items()}
-    work = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)], token_count(F.col(text_col)).alias("mix_tokens"))
-    rows = scratch.put(work.select(F.col(id_col).alias("doc_id"), *names, F.col("mix_tokens").alias("tokens")), "rows")
-    plan = scratch.put(plan_mix(rows, names, paths, scratch, total, max_epochs, seed).select(*names, *[F.col(c).alias(f"_mix_{c}") for c in ("epochs", "rest", "end_key", "end_id", "end_start")]), "plan")
+    work = docs.select("*", *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(level_names, levels.values(), strict=True)], token_count(F.col(text_col)).alias(tokens))
+    rows = scratch.put(work.select(F.col(id_col).alias("doc_id"), *[F.col(a).alias(n) for a, n in zip(level_names, names, strict=True)], F.col(tokens).alias("tokens")), "rows")
+    plan = plan_mix(rows, names, paths, scratch, total, max_epochs, seed)
+    aliases = [F.col(c).alias(n) for c, n in zip((*names, *end), (*level_names, epochs, rest, end_key, end_id, end_start), strict=True)]
+    plan = scratch.put(plan.select(*aliases), "plan")
     scratch.drop("rows", "budgets", "ends")
-    key = _key(F.col("_mix_epochs"), seed, F.col(id_col))
-    at_end = (F.col("_mix_key") == F.col("_mix_end_key")) & F.col(id_col).eqNullSafe(F.col("_mix_end_id"))
-    last = F.coalesce((F.col("_mix_key") < F.col("_mix_end_key")) | at_end, F.lit(False))
-    chosen = work.join(_small(plan), names).withColumn("_mix_key", key).withColumn("_mix_last", last)
-    copies = F.col("_mix_epochs") + F.col("_mix_last").cast("int")
-    chosen = chosen.where(copies > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    cut = (F.col("mix_epoch") == F.col("_mix_epochs")) & at_end
-    taken = F.when(cut, F.least("mix_tokens", F.col("_mix_rest") - F.col("_mix_end_start"))).otherwise(F.col("mix_tokens"))
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_epoch", "mix_tokens", taken.alias("mix_taken"))
+    at_end = (F.col(key) == F.col(end_key)) & F.col(id_col).eqNullSafe(F.col(end_id))
+    is_last = F.coalesce((F.col(key) < F.col(end_key)) | at_end, F.lit(False))
+    chosen = work.join(_small(plan), level_names).withColumn(key, _key(F.col(epochs), seed, F.col(id_col))).withColumn(last, is_last)
+    copies = F.col(epochs) + F.col(last).cast("int")
+    chosen = chosen.where(copies > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), copies - 1)))
+    cut = (F.col(epoch) == F.col(epochs)) & at_end
+    taken = F.when(cut, F.least(F.col(tokens), F.col(rest) - F.col(end_start))).otherwise(F.col(tokens))
+    added = [F.col(epoch).alias(outputs[0]), F.col(tokens).alias(outputs[1]), taken.alias(outputs[2])] if annotate else []
+    return chosen.select(*[F.col(f"`{c}`") for c in kept], *added)
 
 
 def document_levels() -> dict[str, Column]:

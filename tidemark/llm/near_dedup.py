@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, partitions, session, small_batches, trim
+from tidemark.llm.common import Scratch, fresh, partitions, session, trim
 from tidemark.llm.components import connected_components
 
 #: Registers of a sketch, and registers per band: four 16-bit registers are one 64-bit band value.
@@ -223,8 +223,7 @@ def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: s
             sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    with small_batches(docs.sparkSession):
-        return scratch.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles binary"), f"{name}-sets")
+    return scratch.put(docs.join(some, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, "doc_id long, shingles binary"), f"{name}-sets")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -243,8 +242,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     wide = pairs
     for side in ("b", "a"):
         wide = wide.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    with small_batches(docs.sparkSession):
-        links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
+    links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return links
 
@@ -317,9 +315,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     it the anti join shuffles.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup-drop")
-    gone = scratch.put(near_duplicate_classes(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    (name,) = fresh(docs, "_gone")
+    gone = scratch.put(near_duplicate_classes(docs, width, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     some = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(some, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(some, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 _KEY = ["band", "value", "i", "j"]
@@ -418,7 +417,6 @@ def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: D
     hits = scratch.put(dealt.mapInArrow(compare, schema), "hits")
     sets = _sets(hits.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "hits")
     full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
-    with small_batches(spark):
-        links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
+    links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
     scratch.drop("hits", "hits-sets", "hits-ids", "held", "split")
     return links
