@@ -33,8 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that two epochs take is there twice.
     """
-    mixed = mixing.mix(docs, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS, max_epochs=2, seed=17)
-    return mixed.select(*docs.columns)
+    return mixing.mix(docs, mixing.document_levels(), mixing.DOCUMENT_WEIGHTS, max_epochs=2, seed=17, annotate=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
