@@ -72,6 +72,22 @@ def test_borderline_group_loses_no_link(docs):
     check(docs, rows, 3, 85)
 
 
+@pytest.mark.parametrize(("block", "size"), [(16, 4 << 20), (1024, 1 << 12)])
+def test_large_buckets_lose_no_link(docs, monkeypatch, block, size):
+    """Two texts and their edited copies, short and long, in buckets of several blocks by rows or by bytes."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+    rng = random.Random(6)
+    rows, base = [], [f"w{rng.randrange(5000)}" for _ in range(900)]
+    for k, n in ((0, 100), (1, 900)):
+        for i in range(70):
+            words = base[:n]
+            for _ in range(n // 30 if i else 0):
+                words[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            rows.append((1000 * k + (i * 37) % 70, " ".join(words)))
+    check(docs, rows, 3, 85)
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d", 1, 2), (2, "a b c d", 3, 4)], "doc_id long, text string, rep long, kept int")
     assert [tuple(r) for r in near_dedup.drop_near_duplicates(df).collect()] == [(1, "a b c d", 1, 2)]

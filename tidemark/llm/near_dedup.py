@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, fresh, partitions, session, trim
@@ -25,8 +25,10 @@ SLACK = 5.0
 BROADCAST_IDS = 1_000_000
 #: Buckets that are broadcast at most (12 bytes each); beyond it the join shuffles.
 BROADCAST_BUCKETS = 500_000
-#: Documents of a bucket that one block of the remainder compares.
-BLOCK = 512
+#: Documents, and bytes of their shingle sets, that one block of the remainder holds on average.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Components of a split bucket whose best-placed member is tried as a hub.
+CENTRES = 4
 #: Bytes of text hashed at a time.
 SLAB = 1 << 20
 
@@ -262,12 +264,18 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     3. Each member of a bucket is compared with up to four hubs, not with every
        other member, so a bucket costs as many pairs as rows. Pairs go through
        the size bound, the collision-corrected estimate and then full sets.
-    4. Confirmed links are merged to components. Buckets that still hold more
-       than one component are the remainder: there, in blocks, all members of
-       different components are compared by sketch, and the members that are
-       near enough to another meet again with their full sets. A block only
-       gives out the links that join components, never its pairs. So no link
-       between components is lost to the hubs.
+    4. Confirmed links are merged to components. In a bucket of more than one
+       block that still holds several, the members that meet most others over
+       all such buckets are tried as further hubs, one for each of up to four
+       components, as long as that joins any: the text that a group's copies
+       were edited from shares more bands with them than they share with each
+       other.
+    5. Buckets that hold several components even then are the remainder: there,
+       in blocks of bounded rows and bytes, all members of different components
+       are compared by sketch, and the members that are near enough to another
+       meet again with their full sets. A block only gives out the links that
+       join components, never its pairs. So no link between components is lost
+       to the hubs.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id
     reachable, itself included), kept (doc_id = component_id). Documents without
@@ -291,11 +299,20 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     links = _verify(pairs, docs, width, percent, scratch, "hubs")
     component = scratch.put(connected_components(links, scratch, "hub-components"), "merged")
 
-    rest = _remainder(inside, component, reps, docs, width, percent, scratch)
-    if not rest.isEmpty():
-        joined = rest.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        component = scratch.put(connected_components(joined, scratch, "components"), "final")
-    scratch.drop("buckets", "pairs")
+    large, turn = inside.where(F.col("size") > BLOCK).select("band", "value", "rep"), 0
+    while not large.isEmpty():
+        turn += 1
+        split = _split(large, component, reps, scratch, f"large-{turn}")
+        central = scratch.put(_likely(_central_pairs(split), reps, percent), f"central-{turn}")
+        links = _verify(central, docs, width, percent, scratch, f"central-{turn}")
+        if links.isEmpty():  # the next turn would try the same members again
+            break
+        component = _merged(component, links, scratch, f"components-{turn}")
+        large = split.select("band", "value", "rep")
+    split = _split(inside.where("size > 2").select("band", "value", "rep"), component, reps, scratch, "split")
+    if not split.isEmpty():
+        component = _merged(component, _remainder(split, reps, docs, width, percent, scratch), scratch, "components")
+    scratch.drop("buckets", "pairs", "split", *(f"{name}-{k}" for k in range(1, turn + 1) for name in ("large", "central")))
 
     of_rep = reps.select("fingerprint", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("root"))
     least = sketch.select("doc_id", "n_shingles", "fingerprint").join(of_rep, "fingerprint", "left")
@@ -365,16 +382,52 @@ def _near(rows: pa.Table, percent: int, cut: float) -> Iterator[tuple[int, np.nd
                 yield x, with_[good], near[good]
 
 
-def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join different components in buckets of more than two members."""
-    spark, cut = session(inside), estimate_cut(percent / 100)
-    held = inside.where("size > 2").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("band", "value", "size", "rep", F.coalesce("component", "rep").alias("root"))
-    held = scratch.put(held, "held")
-    # partial minima and maxima leave one row a bucket and task, so a hot bucket is no large group here
-    split = scratch.put(held.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "value"), "split")
-    held = held.join(F.broadcast(split) if split.count() <= BROADCAST_BUCKETS else split, ["band", "value"]).join(reps.select("rep", "n", "bands"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = held.select("*", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+def _merged(component: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The components (node, component) after further links (a, b)."""
+    if links.isEmpty():
+        return component
+    joined = links.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return scratch.put(connected_components(joined, scratch, name), f"{name}-merged")
+
+
+def _split(members: DataFrame, component: DataFrame, reps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The members of buckets that hold several components: band, value, rep, root, n, size and the bucket's shingles.
+
+    Partial minima, maxima and sums leave one row a bucket and task, so a hot
+    bucket is no large group here.
+    """
+    key = ["band", "value"]
+    held = scratch.put(members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("root")), f"{name}-held")
+    split = scratch.put(held.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(key), f"{name}-buckets")
+    few = split.count() <= BROADCAST_BUCKETS
+    wide = scratch.put(held.join(F.broadcast(split) if few else split, key).join(reps.select("rep", "n"), "rep"), f"{name}-rows")
+    sizes = wide.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    out = scratch.put(wide.join(F.broadcast(sizes) if few else sizes, key), name)
+    scratch.drop(f"{name}-held", f"{name}-buckets", f"{name}-rows")
+    return out
+
+
+def _central_pairs(split: DataFrame) -> DataFrame:
+    """(a, b): each member of a split bucket with the central members of other components, ``CENTRES`` at most."""
+    key = ["band", "value"]
+    placed = split.groupBy("rep").agg(F.sum("size").alias("met"))
+    best = split.join(placed, "rep").groupBy(*key, "root").agg(F.max(F.struct("met", "rep")).alias("best"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("best")))
+    hubs = best.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select(*key, F.col("root").alias("hub_root"), F.col("best.rep").alias("hub"))
+    met = split.join(hubs, key).where("root <> hub_root")
+    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
+def _remainder(split: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join different components in the split buckets.
+
+    A bucket of s members is dealt into blocks, and every pair of its blocks
+    meets in one task: s * s / BLOCK rows for a bucket whose members the hubs
+    have not joined.
+    """
+    spark, cut = session(split), estimate_cut(percent / 100)
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("shingles") / BLOCK_BYTES)).cast("int")
+    placed = split.join(reps.select("rep", "bands"), "rep").select("*", F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "n", "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,5 +471,5 @@ def _remainder(inside: DataFrame, component: DataFrame, reps: DataFrame, docs: D
     sets = _sets(hits.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "hits")
     full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
     links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
-    scratch.drop("hits", "hits-sets", "hits-ids", "held", "split")
+    scratch.drop("hits", "hits-sets", "hits-ids")
     return links
