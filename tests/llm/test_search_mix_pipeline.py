@@ -51,6 +51,26 @@ def test_topk_with_bad_vectors_copies_and_ties(spark, monkeypatch):
     assert search(df.limit(0)) == {} and search(df.where("vec_id = 3000")) == {}
 
 
+def test_topk_over_several_rings_and_lengths(spark, monkeypatch):
+    """Clustered vectors of very different length: several rings and ranges, most annuli never visited, results exact."""
+    for name, value in (("PIVOTS", 8), ("BLOCK", 16), ("CHUNK", 5), ("ROUNDS", (1, 2))):
+        monkeypatch.setattr(pivot_index, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 6)) * 4
+    rows = [(i, [float(x) for x in (centres[i % 8] + rng.normal(size=6) * 0.2) * (0.4, 1.0, 1.3)[i % 3]]) for i in range(2400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = pivot_index.PivotIndex(pivot_index.quantise(df, "vec_id", "embedding", 256), 5, Scratch(spark, "t"))
+    rings = {int(r) % pivot_index.RINGS for r in index.directory[:, 1]}
+    assert len(index.tops) > 1 and len(rings) > 1 and (np.diff(index.directory[:, 2:4], axis=1) >= 0).all()
+    best = index.search(pivot_index.quantise(df.where("vec_id % 50 = 0"), "vec_id", "embedding", 256))
+    got = {}
+    for r in best.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert {q: sorted(v) for q, v in got.items()} == brute_topk(rows, 5)
+    assert 0 < index.visits[0] < 0.6 * index.possible
+
+
 def brute_shares(children, budget):
     """Water filling of whole numbers: {name: given} from [(name, supply, weight)]."""
     given, open_, left = {}, sorted(children, key=lambda c: (c[1] / c[2], c[0])), budget
