@@ -39,11 +39,18 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Words of notices, forms and the like, in several languages; a short block with one is suspect.
-_NOTICE = frozenset(
-    "cookie cookies consent newsletter subscribe login signup register password copyright advertisement sponsored share tweet reply replies comments "
-    "datenschutz impressum anmelden werbung kommentare publicité commentaires connexion publicidad comentarios suscribirse".split()
-)
+#: What notices, forms and the like say, in several languages: phrases of the labelled pages.
+PHRASES = (
+    "We use cookies to improve your experience", "Accept all cookies", "Accept all", "Reject all", "Manage preferences", "Privacy policy", "Terms of service", "All rights reserved", "Copyright 2024",
+    "Subscribe to our newsletter", "Enter your email address", "Sign in", "Sign up", "Log in to comment", "Forgot your password", "Create an account", "Leave a reply", "Post a comment", "Read more comments",
+    "Share this page", "Share on Facebook", "Follow us on Twitter", "Related articles", "Recommended for you", "You may also like", "Read more", "Load more", "Next page", "Previous page", "Back to top", "Skip to content",
+    "Search this site", "Advertisement", "Sponsored content", "Download our app", "Contact us", "About us", "Site map", "Your cart is empty", "Show menu", "Print this page", "Report abuse",
+    "Wir verwenden Cookies", "Alle akzeptieren", "Datenschutz", "Impressum", "Jetzt anmelden", "Passwort vergessen", "Werbung", "Alle Kommentare anzeigen", "Kommentar schreiben", "Weiterlesen", "Teilen",
+    "Nous utilisons des cookies", "Tout accepter", "Mentions légales", "Connexion", "Publicité", "Laisser un commentaire", "Tous droits réservés", "Partager", "Abonnez-vous",
+    "Utilizamos cookies", "Aceptar todo", "Aviso legal", "Publicidad", "Iniciar sesión", "Deja un comentario", "Todos los derechos reservados", "Compartir", "Suscribirse",
+)
+#: Their longer words: each is a feature of a short block, and training gives it its weight.
+VOCABULARY = frozenset(w for phrase in PHRASES for w in _WORDS.findall(phrase.lower()) if len(w) > 4)
 
 
 @dataclass
@@ -138,7 +145,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def text_features(block: Block, before: Block | None) -> list[str]:
-    """Length, links, punctuation, notice words, and whether the element changed."""
+    """Length, links, punctuation, words of the vocabulary, and whether the element changed."""
     text = block.text
     n = len(text)
     words = _WORDS.findall(text.lower()) if n < 200 else None
@@ -147,8 +154,11 @@ def text_features(block: Block, before: Block | None) -> list[str]:
         out.append("sentence")
     if "©" in text or "(c)" in text.lower():
         out.append("copyright")
-    if words is not None and not _NOTICE.isdisjoint(words):
-        out.append("notice")
+    if words:
+        said = VOCABULARY.intersection(words)
+        out += [f"word={w}" for w in sorted(said)]
+        if 2 * sum(w in said for w in words) >= len(words):
+            out.append("phrase")
     if block.path:
         out.append("in=" + (block.path[-1][0] if block.path[-1] else "plain"))
     if before is not None and before.path == block.path:
@@ -262,7 +272,10 @@ _CONTENT_SHELLS = (
     '<section class="entry-content">{}</section>', "<main>{}</main>", '<div class="article-text">{}</div>', '<div class="story">{}</div>', '<div role="main">{}</div>', "<article class=\"post\"><div class=\"text\">{}</div></article>", "{}",
 )
 _CONTENT_BLOCKS = ("<p>{}</p>", "<p>{}", "<p><b>{}<br>", "<p>{}</p>", "<p>{}</p>", "<ul><li>{}</li><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<h2>{}</h2>", "<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>", "<table><tr><td>{}</td><td>{}</td></tr></table>", "<ol><li>{}<li>{}</ol>", '<p>{} <a href="/x">{}</a> {}</p>', "<div>{}</div>", "<dl><dt>{}</dt><dd>{}</dd></dl>")
+#: Content blocks that only a named shell tells from menus.
+_LINKED_BLOCKS = ('<ul><li><a href="/x">{}</a></li><li><a href="/y">{}</a></li></ul>', '<p><a href="/x">{}</a></p>', '<ol><li><a href="/x">{}</a> {}</li></ol>', '<p>{}<button>{w}</button></p>', '<p>{} <button>{w}</button> {}</p>')
 _TOP = (
+    '<table><tr><td><a href="/a">{w}</a></td><td><a href="/b">{w}</a></td><td><a href="/c">{w}</a></td></tr></table>', "<div><p>{n}</p><button>{n}</button></div>", "<div>{n}</div>", '<div><a href="/s">{n}</a> <a href="/t">{n}</a></div>',
     '<nav><ul><li><a href="/a">{w}</a></li><li><a href="/b">{w}</a></li></ul></nav>', '<header><div class="logo">{w}</div><p>{s}</p></header>', '<div class="menu"><a href="/">{w}</a> <a href="/2">{w}</a></div>',
     '<div class="ad">{s}</div>', '<div class="advert">{s}</div>', '<div class="cookie-notice"><p>{s}</p><button>{w}</button></div>', '<div id="header"><h2>{w}</h2></div>', '<div class="breadcrumbs"><a href="/">{w}</a></div>',
     '<form class="search"><label>{w}</label><button>{w}</button></form>', '<div role="navigation"><a href="/q">{w}</a></div>', '<div class="notice">{s}</div>', '<div id="top-banner">{s}</div>', '<div class="consent" role="dialog"><p>{s}</p></div>', '<div class="alert">{s}</div>',
@@ -272,6 +285,7 @@ _SIDE = (
     '<div class="widget">{s}</div>', '<div class="promo"><p>{s}</p></div>', '<div class="share"><a href="/s">{w}</a></div>', '<aside class="ads">{s}</aside>', '<div class="newsletter"><form><p>{s}</p><label>{w}</label></form></div>', '<div class="social">{w}</div>',
 )
 _END = (
+    "<div><p>{n}</p></div>", "<div><label>{n}</label><button>{n}</button></div>", '<ul><li><a href="/p">{n}</a></li><li><a href="/i">{n}</a></li></ul>', "<div><h3>{n}</h3><p>{s}</p></div>",
     "<footer>&copy; {w} &middot; {s}</footer>", '<div class="footer"><p>{s}</p></div>', '<div id="footer">&copy; 2024 {t}</div>', '<section class="comments"><h3>{w}</h3><div class="comment"><p>{s}</p></div><div class="comment"><p>{s}</p><p>{s}</p></div></section>',
     '<div id="comments"><ol class="comment-list"><li><p>{s}</p></li><li>{s}</li></ol></div>', '<div class="reader-comments"><p>{s}</p></div>', '<form><label>{w}</label><textarea>{s}</textarea><button>{w}</button></form>', '<div class="copyright">{s}</div>',
     '<div class="pagination"><a href="/2">2</a></div>', '<ul class="tags"><li><a href="/t">{w}</a></li></ul>', '<div class="disclaimer"><p>{s}</p></div>', '<footer><p>{s}</p><ul><li><a href="/c">{w}</a></li></ul></footer>', '<div class="replies"><p>{s}</p></div>',
@@ -289,27 +303,46 @@ _CONTENT_NAMES = "content article post entry main story body text prose copy doc
 _WRAPS = ("<div {}><p>{{s}}</p></div>", "<div {}>{{s}}</div>", "<section {}><h3>{{w}}</h3><p>{{s}}</p><p>{{s}}</p></section>", "<div {}><ul><li><a href='/x'>{{t}}</a></li><li>{{s}}</li></ul></div>", "<p {}>{{s}}</p>", "<div {}><div><b>{{w}}</b><p>{{s}}</p></div></div>")
 
 
-def labelled_pages(n: int = 480, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 5, fold: int | None = None, held: bool = False) -> list[str]:
     """Pages made of templates; the marks U+0001 and U+0002 stand around each content text.
 
-    Their prose is made of syllables, so only structure and shape can be
-    learned. Boilerplate runs to whole sentences, stands before, after and
-    within the content, and content may be short, linked or in lists.
+    Their prose is made of syllables, so only structure, shape and the phrases
+    of notices can be learned. Boilerplate runs to whole sentences, stands
+    before, after and within the content, and content may be short, linked or
+    in lists. With ``fold`` (0 to 3) a quarter of all shells, templates and
+    element names is left out, or with ``held`` used alone: then no page is made
+    like one of the others.
     """
     rng = random.Random(seed)
+
+    def part(items: Sequence[str]) -> list[str]:
+        return [x for k, x in enumerate(items) if fold is None or (k % 4 == fold) == held]
+
+    shells, blocks, linked, top, side, end, wraps = map(part, (_CONTENT_SHELLS, _CONTENT_BLOCKS, _LINKED_BLOCKS, _TOP, _SIDE, _END, _WRAPS))
+    comments = part([t for t in _END if "comment" in t or "repl" in t])
+    boiler_names, boiler_roles, boiler_tags, content_names = map(part, (_BOILER_NAMES, _BOILER_ROLES, _BOILER_TAGS, _CONTENT_NAMES))
     syllables = [a + b for a in "bdfgklmnprstvw" for b in ("a", "e", "i", "o", "an", "er", "is", "é", "ö")]
 
+    vocabulary = sorted(VOCABULARY)
+
     def word() -> str:
         return "".join(rng.choice(syllables) for _ in range(rng.choice((1, 2, 2, 3))))
 
     def sentence(most: int = 25) -> str:
-        return " ".join(word() for _ in range(rng.randint(1, most))).capitalize() + "."
+        words = [word() for _ in range(rng.randint(1, most))]
+        if len(words) > 5 and rng.random() < 0.1:  # a word of the notices says little in a sentence
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        return " ".join(words).capitalize() + "."
 
     def prose() -> str:
-        return " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 5))))
+        text = " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 3, 5))))
+        return text if rng.random() < 0.7 else text[:-1] + rng.choice(("", "", ":", ";", "%", ")"))
+
+    def phrase() -> str:
+        return rng.choice(PHRASES) + rng.choice(("", "", ".", "!", "?"))
 
     def boiler(template: str) -> str:
-        for mark, make in (("{w}", word), ("{s}", prose), ("{t}", lambda: sentence(6)[:-1])):
+        for mark, make in (("{w}", word), ("{s}", prose), ("{t}", lambda: sentence(6)[:-1]), ("{n}", phrase)):
             while mark in template:
                 template = template.replace(mark, make(), 1)
         return template
@@ -317,35 +350,37 @@ def labelled_pages(n: int = 480, seed: int = 5) -> list[str]:
     def named_boiler() -> str:
         kind = rng.random()
         if kind < 0.15:
-            tag = rng.choice(_BOILER_TAGS)
+            tag = rng.choice(boiler_tags)
             return boiler(f"<{tag}><p>{{s}}</p></{tag}>" if rng.random() < 0.5 else f"<{tag}>{{s}}</{tag}>")
         if kind < 0.3:
-            mark = f'role="{rng.choice(_BOILER_ROLES)}"'
+            mark = f'role="{rng.choice(boiler_roles)}"'
         else:
-            name = rng.choice(_BOILER_NAMES)
-            name += rng.choice(("", "", "-" + rng.choice(("box", "area", "wrap", "inner", "list", "1")), "_" + rng.choice(_BOILER_NAMES)))
+            name = rng.choice(boiler_names)
+            name += rng.choice(("", "", "-" + rng.choice(("box", "area", "wrap", "inner", "list", "1")), "_" + rng.choice(boiler_names)))
             mark = rng.choice(('class="{}"', 'id="{}"', 'class="box {}"')).format(rng.choice(("", "", "site-", "page-", "user-")) + name)
-        return boiler(rng.choice(_WRAPS).format(mark))
+        return boiler(rng.choice(wraps).format(mark))
 
-    def content_block() -> str:
-        template = rng.choice(_CONTENT_BLOCKS)
+    def content_block(named: bool) -> str:
+        if named and rng.random() < 0.06:  # an article may say what notices say
+            return f"<p>\u0001{phrase()}\u0002</p>"
+        template = boiler(rng.choice(linked if named and rng.random() < 0.15 else blocks))
         while "{}" in template:
             template = template.replace("{}", f"\u0001{prose() if rng.random() < 0.8 else sentence(3)}\u0002", 1)
         return template
 
     pages = []
     for _ in range(n):
+        shell = rng.choice(shells) if rng.random() < 0.6 else f'<div class="{rng.choice(content_names)}{rng.choice(("", "-" + rng.choice(content_names)))}">{{}}</div>'
         inner = [f"<h1>\u0001{sentence(9)}\u0002</h1>"] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 9)):
-            inner.append(content_block())
+            inner.append(content_block(shell != "{}"))
             if rng.random() < 0.12:
-                inner.append(boiler(rng.choice(_SIDE)))
+                inner.append(boiler(rng.choice(side)))
         if rng.random() < 0.2:
-            inner.append(boiler(rng.choice(_END[3:6])))
-        parts = [boiler(t) for t in rng.sample(_TOP, rng.randint(0, 3))] + [named_boiler() for _ in range(rng.randint(0, 4))]
-        shell = rng.choice(_CONTENT_SHELLS) if rng.random() < 0.6 else f'<div class="{rng.choice(_CONTENT_NAMES)}{rng.choice(("", "-" + rng.choice(_CONTENT_NAMES)))}">{{}}</div>'
+            inner.append(boiler(rng.choice(comments)))
+        parts = [boiler(t) for t in rng.sample(top, rng.randint(0, 3))] + [named_boiler() for _ in range(rng.randint(0, 4))]
         body = shell.format("".join(inner))
-        parts += [boiler(rng.choice(_SIDE))] * (rng.random() < 0.3) + [body] + [boiler(t) for t in rng.sample(_SIDE, rng.randint(0, 2))] + [boiler(t) for t in rng.sample(_END, rng.randint(0, 3))] + [named_boiler() for _ in range(rng.randint(0, 3))]
+        parts += [boiler(rng.choice(side))] * (rng.random() < 0.3) + [body] + [boiler(t) for t in rng.sample(side, rng.randint(0, 2))] + [boiler(t) for t in rng.sample(end, rng.randint(0, 3))] + [named_boiler() for _ in range(rng.randint(0, 3))]
         page = f"<html><head><title>{sentence(5)}</title><style>p{{}}</style></head><body>{''.join(parts)}"
         pages.append(page if rng.random() < 0.2 else page + "</body></html>")
     return pages
@@ -361,7 +396,7 @@ def labelled_blocks(page: str) -> tuple[list[Block], list[int]]:
 
 
 @lru_cache(maxsize=4)
-def trained(n: int = 480, seed: int = 5) -> Crf:
+def trained(n: int = 800, seed: int = 5) -> Crf:
     """The CRF fitted on :func:`labelled_pages`."""
     return fit([labelled_blocks(page) for page in labelled_pages(n, seed)])
 
