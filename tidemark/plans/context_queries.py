@@ -52,7 +52,7 @@ def adjacency(t: Tables) -> DataFrame:
     return cx.adjacency(pairs.select(F.col("c_nationkey").cast("long"), F.col("s_nationkey").cast("long")), "c_nationkey", "s_nationkey")
 
 
-HOSTS = """e0 AS (SELECT s_nationkey AS a, (s_nationkey * 3 + s_suppkey) % 9 + 30 AS b FROM supplier WHERE s_suppkey < 12 UNION SELECT (s_nationkey + s_suppkey) % 9 + 30, (s_nationkey * 5 + s_suppkey) % 9 + 30 FROM supplier WHERE s_suppkey < 20),
+HOSTS = """e0 AS (SELECT s_nationkey AS a, (s_nationkey * 3 + s_suppkey) % 9 + 30 AS b FROM supplier UNION SELECT (s_nationkey + s_suppkey) % 9 + 30, (s_nationkey * 5 + s_suppkey) % 9 + 30 FROM supplier),
 e AS (SELECT DISTINCT (CASE WHEN a < 30 THEN '203.0.113.' ELSE '10.0.0.' END) || a AS src, '10.0.0.' || b AS dst FROM e0 WHERE a <> b)"""
 
 
@@ -145,12 +145,13 @@ def exemplar_support(t: Tables) -> DataFrame:
     return near.groupBy("query").agg((F.avg((F.col("ql") == F.col("xl")).cast("double")) > 0.5).alias("supported"))
 
 
-@query(f"""WITH {KNN}, m AS (SELECT *, (ql = xl)::INT AS m, lead((ql = xl)::INT) OVER w AS nx, max(rank) OVER (PARTITION BY query) AS n FROM k WINDOW w AS (PARTITION BY query ORDER BY rank)),
+@query(f"""WITH {KNN.replace("WHERE r <= 20)", ")").replace("WHERE q.vec_id <> x.vec_id)", "WHERE q.vec_id <> x.vec_id AND q.vec_id % 50 = 0)")}, m AS (SELECT *, (ql = xl)::INT AS m, lead((ql = xl)::INT) OVER w AS nx, max(rank) OVER (PARTITION BY query) AS n FROM k WINDOW w AS (PARTITION BY query ORDER BY rank)),
 s AS (SELECT *, CASE WHEN nx IS NULL THEN m / n::DOUBLE ELSE (m - nx) / 5::DOUBLE * least(5, rank) / rank END AS st FROM m), v AS (SELECT neighbour, sum(st) OVER (PARTITION BY query ORDER BY rank DESC) AS v FROM s)
 SELECT neighbour, round(avg(v), 6) AS value FROM v GROUP BY neighbour""")
 def knn_shapley(t: Tables) -> DataFrame:
+    """The value of every embedding for a vote on the query set: the rows whose id is divisible by 50."""
     labels = t.embeddings.select("vec_id", "label")
-    near = cx.ranked(t.embeddings, t.embeddings, "vec_id", "embedding").join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query").join(labels.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("xl")), "neighbour")
+    near = cx.ranked(t.embeddings, t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding").join(labels.select(F.col("vec_id").alias("query"), F.col("label").alias("ql")), "query").join(labels.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("xl")), "neighbour")
     return r6(cx.knn_shapley(near.withColumn("match", (F.col("ql") == F.col("xl")).cast("int")), 5))
 
 
@@ -267,7 +268,10 @@ def unlearning_shards(t: Tables) -> DataFrame:
     return cl.assign_shards(t.orders, "o_orderkey", 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderkey") % 500 == 0).alias("deleted"))
 
 
-@query(f"""WITH {LI} SELECT l_suppkey, CASE WHEN l_suppkey IN (20, 21) THEN 'ftp' WHEN l_suppkey = 22 THEN 'ssh' WHEN l_suppkey = 23 THEN 'telnet' WHEN l_suppkey = 25 THEN 'smtp' WHEN l_suppkey = 53 THEN 'dns' WHEN l_suppkey = 80 THEN 'http' ELSE 'other/ephemeral' END AS service, count(*) AS n FROM li WHERE l_suppkey < 100 GROUP BY ALL""")
+PORTS = " ".join(f"WHEN {port} THEN '{name}'" for port, name in sc.SERVICES.items())
+
+
+@query(f"WITH {LI} SELECT l_suppkey, CASE l_suppkey {PORTS} ELSE '{sc.OTHER_SERVICE}' END AS service, count(*) AS n FROM li GROUP BY ALL")
 def port_services(t: Tables) -> DataFrame:
     return li(t).groupBy("l_suppkey", sc.service_of(F.col("l_suppkey")).alias("service")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -135,7 +135,7 @@ def best_threshold_reward(t: Tables) -> DataFrame:
     return r6(out, "threshold").withColumn("reward", F.col("reward").cast("long"))
 
 
-@query(f"""WITH {EV}, n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev WHERE user_id < 30), c AS (SELECT a.event_id, a.n, count(*) FILTER (b.value > a.value) AS gt, count(*) FILTER (b.value = a.value) AS eq FROM n a JOIN n b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY ALL) SELECT event_id, round((gt + 0.5 * eq) / n, 6) AS p FROM c""")
+@query(f"""WITH {EV}, n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev), c AS (SELECT a.event_id, a.n, count(*) FILTER (b.value > a.value) AS gt, count(*) FILTER (b.value = a.value) AS eq FROM n a JOIN n b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY ALL) SELECT event_id, round((gt + 0.5 * eq) / n, 6) AS p FROM c""")
 def online_pvalues(t: Tables) -> DataFrame:
     return r6(el.online_pvalues(ev(t), ["user_id"], ["ts", "event_id"], "value", F.lit(0.5)).select("event_id", "p"))
 

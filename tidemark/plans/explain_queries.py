@@ -47,7 +47,7 @@ def monotone_check(t: Tables) -> DataFrame:
     return xp.monotone_violations(t.part, NAMES, NAMES, [1.5, 3.0], model)
 
 
-@query(f"""WITH pt AS (SELECT p_partkey AS i, p_size::DOUBLE AS a, p_retailprice AS b FROM part WHERE p_partkey < 40), d AS (SELECT i, avg({_m('a', 'b')}) AS jk, avg({_m('a', 'p_retailprice')}) AS j, avg({_m('p_size', 'b')}) AS k FROM part, pt GROUP BY i),
+@query(f"""WITH pt AS (SELECT p_partkey AS i, p_size::DOUBLE AS a, p_retailprice AS b FROM part), d AS (SELECT i, avg({_m('a', 'b')}) AS jk, avg({_m('a', 'p_retailprice')}) AS j, avg({_m('p_size', 'b')}) AS k FROM part, pt GROUP BY i),
 c AS (SELECT jk - avg(jk) OVER () AS x, j - avg(j) OVER () AS y, k - avg(k) OVER () AS z FROM d) SELECT round(sqrt(least(sum((x - y - z) ^ 2) / sum(x ^ 2), 1)), 5) AS h FROM c""")
 def interaction_h(t: Tables) -> DataFrame:
     return xp.h_statistic(t.part, t.part, "p_size", "p_retailprice", NAMES, model).withColumn("h", F.round("h", 5))

@@ -165,7 +165,10 @@ def crc_threshold(t: Tables) -> DataFrame:
     return risks.agg(F.coalesce(F.max(F.when(ok, F.col("threshold"))), F.min("threshold")).alias("threshold"))
 
 
-@query(f"WITH {LI} SELECT round(score, 6) AS threshold FROM li WHERE y = 0 ORDER BY score DESC LIMIT 1 OFFSET {nf.np_admissible_count(2000, 0.05, 0.1)}")
+@query(f"""WITH {LI}, b AS (SELECT score, row_number() OVER (ORDER BY score DESC) - 1 AS above, count(*) OVER () AS n FROM li WHERE y = 0 AND score IS NOT NULL),
+p AS (SELECT k, n, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.05::DOUBLE) + (n - k) * ln(0.95::DOUBLE)) AS p FROM (SELECT unnest(range(n // 10 + 10)) AS k, n FROM (SELECT any_value(n) AS n FROM b)) WHERE k <= n),
+m AS (SELECT max(k) AS m FROM (SELECT k, sum(p) OVER (ORDER BY k) AS cdf FROM p) WHERE cdf <= 0.1)
+SELECT coalesce((SELECT round(score, 6) FROM b, m WHERE above = m), 'inf'::DOUBLE) AS threshold""")
 def neyman_pearson(t: Tables) -> DataFrame:
     benign = li(t).where("y = 0 and score is not null")
     return r6(nf.threshold_from_count(benign, "score", nf.np_admissible_count(benign.count(), 0.05, 0.1)))
