@@ -15,7 +15,7 @@ from tidemark.operators import learning as ln
 from tidemark.operators import models as ml
 from tidemark.operators import ranking as rk
 from tidemark.operators import sketches as sk
-from tidemark.operators.cumulative import cumulative
+from tidemark.operators.cumulative import cumulative, position, ranged
 
 SCORED = list(zip((0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9), (0, 0, 0, 0, 1, 1, 1, 1), strict=True))
 
@@ -74,11 +74,24 @@ def test_silent_campaigns_and_first_alerts(spark):
 
 
 def test_running_sums_over_ranges(spark):
-    rows = [(g, float(v), 1) for g in "ab" for v in range(50)] + [("c", 5.0, 7)]
+    """Keys with a long tail, few keys, and one key: sums are exact, and no range of the long table holds many of its rows."""
+    rows = [(g, float(v) ** 9, 1) for g in "ab" for v in range(700)] + [("c", 5.0, 7)]
     df = spark.createDataFrame(rows, "g string, k double, n int")
-    up = {(r.g, r.k): r.cum_n for r in cumulative(df, "k", ["n"], by=["g"], ranges=7).collect()}
-    down = {(r.g, r.k): r.cum_n for r in cumulative(df, "k", ["n"], descending=True, by=["g"], ranges=7).collect()}
-    assert all(up[g, float(v)] == v + 1 and down[g, float(v)] == 50 - v for g in "ab" for v in range(50)) and up["c", 5.0] == 7
+    up = {(r.g, r.k): r.cum_n for r in cumulative(df, "k", ["n"], by=["g"]).collect()}
+    down = {(r.g, r.k): r.cum_n for r in cumulative(df, "k", ["n"], descending=True, by=["g"]).collect()}
+    assert all(up[g, float(v) ** 9] == v + 1 and down[g, float(v) ** 9] == 700 - v for g in "ab" for v in range(700)) and up["c", 5.0] == 7
+    sizes = [r["count"] for r in ranged(df.where("g = 'a'"), "k").groupBy("_range").count().collect()]
+    assert len(sizes) > 200 and max(sizes) <= 12
+    one = {r.k: r.cum_n for r in cumulative(df.where("g = 'a'").select("k", "n"), "k", ["n"]).collect()}
+    assert one == {float(v) ** 9: v + 1 for v in range(700)}
+
+
+def test_places_in_an_order(spark):
+    rows = [(float((i * 7919) % 50) if i % 11 else None, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "x double, i int")
+    want = {r[1]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])))}
+    assert {r.i: r.pos for r in position(df, ["x", "i"]).collect()} == want
+    assert position(df.limit(0), ["x", "i"]).count() == 0
 
 
 def test_cleaning_of_a_defective_frame(spark):

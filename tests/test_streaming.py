@@ -154,9 +154,10 @@ def test_drift_monitor_reports_full_windows(spark, tmp_path):
     (tmp_path / "s").mkdir()
     for i, shift in enumerate((0, 0, 50, 50)):
         ref.limit(300).select(F.col("x") + shift).toDF("x").coalesce(1).write.mode("append").json(str(tmp_path / "s" / str(i)))
-    monitor = spool.DriftMonitor(ref, ["x"], str(tmp_path / "m"), window=500)
-    for i in range(4):
+    for i in (0, 0, 1, 2, 2, 3, 3):  # replayed batches, and a monitor that starts anew each time
+        monitor = spool.DriftMonitor(ref, ["x"], str(tmp_path / "m"), window=500)
         monitor.observe(spark.read.schema("x double").json(str(tmp_path / "s" / str(i))), i)
+    assert monitor.state(spark, 4) == (2, 4, 0) and monitor.state(spark, 3) == (1, 2, 300)
     got = {r["window"]: r.drift for r in spark.read.parquet(str(tmp_path / "m" / "reports")).collect()}
     assert got == {0: "none", 1: "major"}
 

@@ -92,10 +92,10 @@ def lateral_chains(edges: DataFrame, max_depth: int, min_hosts: int, internal_on
         longest = longest.unionByName(path)
     best = longest.groupBy("start").agg(F.min(F.struct((-F.size("path")).alias("n"), "path")).alias("b")).select("start", F.col("b.path").alias("path"))
     chains = best.where(F.size("path") >= min_hosts)
-    inside = chains.select(F.concat_ws(">", F.lit(""), F.col("path"), F.lit("")).alias("whole"), F.col("start").alias("other"))
-    text = F.concat_ws(">", F.lit(""), F.col("path"), F.lit(""))
-    contained = chains.withColumn("text", text).join(F.broadcast(inside), F.col("whole").contains(F.col("text")) & (F.col("whole") != F.col("text")), "left_semi").select("start")
-    return chains.join(contained, "start", "left_anti").withColumn("hosts", F.size("path"))
+    # the proper parts of a chain are few (at most max_depth squared), so chains within chains are found by equality
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("path")), lambda a: F.transform(F.sequence(a, F.size("path")), lambda b: F.slice("path", a, b - a + 1))))
+    parts = chains.select(F.size("path").alias("whole"), F.explode(spans).alias("part")).where(F.size("part") < F.col("whole")).select("part").distinct()
+    return chains.join(parts, F.col("path") == F.col("part"), "left_anti").withColumn("hosts", F.size("path"))
 
 
 def incidents(df: DataFrame, order: Sequence[str], alert: Column, label: str, tolerance: int, by: Sequence[str] = ()) -> DataFrame:
@@ -151,6 +151,10 @@ def active_idle(df: DataFrame, by: Sequence[str], time: str, timeout: int) -> Da
     )
 
 
+#: Rows of an index that are broadcast at a time.
+INDEX_ROWS = 20_000
+
+
 def exemplars(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
     """Up to ``per_class`` rows of each class, picked by a hash of the key."""
     rank = F.row_number().over(Window.partitionBy(label).orderBy(mix32(F.col(key)), key))
@@ -169,11 +173,21 @@ def ranked(index: DataFrame, queries: DataFrame, key: str, vector: str) -> DataF
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    """Exact k nearest rows of a small index for each query, by Euclidean distance, ties by key.
+    """Exact k nearest rows of an index for each query, by Euclidean distance, ties by key.
 
-    The index (a bounded set of exemplars) is broadcast; queries stay where they are.
+    The index (exemplars) is counted and broadcast in blocks of at most
+    ``INDEX_ROWS``; queries stay where they are, and each block leaves k rows a
+    query.
     """
-    return ranked(F.broadcast(index), queries, key, vector).where(F.col("rank") <= k)
+    blocks = -(-index.count() // INDEX_ROWS) or 1
+    if blocks == 1:
+        return ranked(F.broadcast(index), queries, key, vector).where(F.col("rank") <= k)
+    found = None
+    for b in range(blocks):
+        block = index.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        best = ranked(F.broadcast(block), queries, key, vector).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
 
 def knn_shapley(near: DataFrame, k: int) -> DataFrame:

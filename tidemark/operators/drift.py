@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import mix32
-from tidemark.operators.cumulative import cumulative
+from tidemark.operators.cumulative import cumulative, position
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -103,8 +103,8 @@ def linear_time_mmd(x: DataFrame, y: DataFrame, key: str, value: str, gamma: flo
     """Linear-time MMD: pairs of rows by hash order, mean of k(x1,x2) + k(y1,y2) - k(x1,y2) - k(x2,y1)."""
 
     def pairs(df: DataFrame, name: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(mix32(F.col(key)), key)) - 1
-        at = df.select(place.alias("_i"), F.col(value).cast("double").alias("_v"))
+        keyed = df.select(mix32(F.col(key)).alias("_h"), F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+        at = position(keyed, ["_h", "_k"], name="_i").withColumn("_i", F.col("_i") - 1)
         return at.groupBy(F.floor(F.col("_i") / 2).alias("pair")).agg(F.max(F.when(F.col("_i") % 2 == 0, F.col("_v"))).alias(f"{name}1"), F.max(F.when(F.col("_i") % 2 == 1, F.col("_v"))).alias(f"{name}2")).where(F.col(f"{name}2").isNotNull())
 
     k = lambda a, b: F.exp(-gamma * F.pow(F.col(a) - F.col(b), 2))

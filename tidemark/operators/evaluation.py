@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import binary_entropy, mix32, safe_rate
 from tidemark.operators import ranking as rk
-from tidemark.operators.cumulative import cumulative
+from tidemark.operators.cumulative import cumulative, position
 
 
 # --- positions in a reference distribution ------------------------------------------------------
@@ -248,17 +248,16 @@ def rescale_clock(df: DataFrame, times: Sequence[str], rates: Sequence[str], fac
 
 
 def apply_fault(df: DataFrame, columns: Sequence[str], mode: str, key: str) -> DataFrame:
-    """'missing' (null), 'stuck' (0) or 'shuffled' (one permutation of the whole block, by hash order)."""
+    """'missing' (null), 'stuck' (0) or 'shuffled' (one permutation of the whole block, by hash order; ``key`` is a number)."""
     if mode == "missing":
         return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in columns})
     if mode == "stuck":
         return df.withColumns({c: F.lit(0).cast(df.schema[c].dataType) for c in columns})
     if mode != "shuffled":
         raise ValueError(f"unknown fault {mode}")
-    here = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))
-    there = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(mix32(F.col(key)), key))
-    block = df.select(there.alias("_i"), *columns)
-    return df.drop(*columns).withColumn("_i", here).join(block, "_i").drop("_i").select(*df.columns)
+    there = position(df.select(mix32(F.col(key)).alias("_h"), F.col(key).alias("_k"), *columns), ["_h", "_k"], name="_i")
+    here = position(df.drop(*columns), [key], name="_i")
+    return here.join(there.drop("_h", "_k"), "_i").select(*df.columns)
 
 
 def flip_rate(df: DataFrame, before: str, after: str, threshold: float) -> DataFrame:

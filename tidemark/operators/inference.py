@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import mixture_boundary, safe_rate
-from tidemark.operators.cumulative import cumulative
+from tidemark.operators.cumulative import cumulative, position
 
 
 def conformal_quantile(df: DataFrame, score: str, alpha: float, by: Sequence[str] = ()) -> DataFrame:
@@ -182,12 +182,12 @@ def support_violation(df: DataFrame, logged: str, target: str) -> DataFrame:
 
 def risk_coverage(df: DataFrame, uncertainty: str, error: str, key: str, coverages: Sequence[float]) -> DataFrame:
     """Error rate of the k = max(round(c n), 1) least uncertain rows, by uncertainty then key."""
-    spark = df.sparkSession
-    w = Window.partitionBy(F.lit(0)).orderBy(uncertainty, key)
-    ran = df.select(F.row_number().over(w).alias("k"), F.sum(F.col(error).cast("double")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("e"))
-    want = spark.createDataFrame([(float(c),) for c in coverages], "coverage double").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))
-    want = want.withColumn("k", F.greatest(F.rint(F.col("coverage") * F.col("n")), F.lit(1.0)).cast("int"))
-    return ran.join(F.broadcast(want), "k").select("coverage", F.col("k").cast("long").alias("rows"), (F.col("e") / F.col("k")).alias("risk"))
+    size = df.agg(F.count(F.lit(1)).alias("_n"))
+    ran = position(df.select(uncertainty, key, F.col(error).cast("double").alias("_e")), [uncertainty, key], name="_k").crossJoin(F.broadcast(size))
+    rows = {float(c): F.greatest(F.rint(F.lit(float(c)) * F.col("_n")), F.lit(1.0)).cast("long") for c in coverages}
+    sums = ran.agg(*[F.sum(F.when(F.col("_k") <= k, F.col("_e"))).alias(f"e{i}") for i, k in enumerate(rows.values())], F.max("_n").alias("_n"))
+    found = F.array(*[F.struct(F.lit(c).alias("coverage"), k.alias("rows"), (F.col(f"e{i}") / k).alias("risk")) for i, (c, k) in enumerate(rows.items())])
+    return sums.where("_n > 0").select(F.inline(found))
 
 
 def crc_threshold(risks: DataFrame, n: int, alpha: float, bound: float = 1.0) -> DataFrame:

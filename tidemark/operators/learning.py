@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clamp, safe_rate
+from tidemark.operators.cumulative import position
 
 # --- model updates: rows of (site, pos, value) --------------------------------------------------
 
@@ -176,21 +177,22 @@ def pareto_front(df: DataFrame, low: str, high: str) -> DataFrame:
     best = df.groupBy(low).agg(F.max(high).alias("_best"))
     w = Window.partitionBy(F.lit(0)).orderBy(low).rowsBetween(Window.unboundedPreceding, -1)
     edge = best.withColumn("_before", F.max("_best").over(w)).where(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
-    return df.join(F.broadcast(edge.select(low, "_best")), low).where(F.col(high) == F.col("_best")).drop("_best")
+    return df.join(edge.select(low, "_best"), low).where(F.col(high) == F.col("_best")).drop("_best")
 
 
 def crowding(front: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Crowding distance: the summed, scaled gap to the neighbours in each objective; infinite at the ends."""
-    out = front
-    parts = []
+    spans = front.agg(*[(F.max(c) - F.min(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
+    out = front.crossJoin(F.broadcast(spans))
     for i, c in enumerate(columns):
-        w = Window.partitionBy(F.lit(0)).orderBy(c, key)
-        whole = Window.partitionBy(F.lit(0))
-        span = F.max(c).over(whole) - F.min(c).over(whole)
-        gap = F.when(F.lag(c).over(w).isNull() | F.lead(c).over(w).isNull(), float("inf")).otherwise(safe_rate(F.lead(c).over(w) - F.lag(c).over(w), span))
-        out = out.withColumn(f"_c{i}", gap)
-        parts.append(F.col(f"_c{i}"))
-    return out.withColumn("crowding", sum(parts, F.lit(0.0))).drop(*[f"_c{i}" for i in range(len(columns))])
+        placed = position(out, [c, key], name="_at")
+        beside = placed.select("_at", F.col(c).alias("_v"))
+        after, before = (beside.select((F.col("_at") + move).alias("_at"), F.col("_v").alias(name)) for move, name in ((-1, "_next"), (1, "_last")))
+        wide = placed.join(after, "_at", "left").join(before, "_at", "left")
+        gap = F.when(F.col("_next").isNull() | F.col("_last").isNull(), float("inf")).otherwise(safe_rate(F.col("_next") - F.col("_last"), F.col(f"_s{i}")))
+        out = wide.withColumn(f"_c{i}", gap).drop("_at", "_next", "_last")
+    crowded = sum((F.col(f"_c{i}") for i in range(len(columns))), F.lit(0.0))
+    return out.select(*front.columns, crowded.alias("crowding"))
 
 
 def cluster_purity(df: DataFrame, cluster: str, label: str) -> DataFrame:

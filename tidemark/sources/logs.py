@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import normalize_label, severity
+from tidemark.operators.cumulative import position
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday")
 #: Fields of a connection log that are read (fixed values).
@@ -127,5 +128,5 @@ def triage(findings: DataFrame, probability: str, anomaly: str, weights: Mapping
     base = F.coalesce(F.when(F.col("cvss").isNotNull(), F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.col("cvss"))) / 10.0), bucket[F.col("severity")], F.lit(0.5))
     total = sum(weights.values())
     risk = (weights["severity"] * base + weights["model"] * F.col(probability) + weights["anomaly"] * F.col(anomaly).cast("double")) / total
-    out = findings.withColumn("risk", risk)
-    return out.withColumn("priority", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("risk"), order)))
+    out = findings.withColumn("risk", risk).withColumn("_down", -F.col("risk"))
+    return position(out, ["_down", order], name="priority").drop("_down")

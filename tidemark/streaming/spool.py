@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import drift
-from tidemark.sources.logs import alert_documents, append_alerts
+from tidemark.sources.logs import alert_documents
 
 
 def read_spool(spark: SparkSession, folder: str, schema: str, kind: str = "csv", per_batch: int = 100) -> DataFrame:
@@ -27,16 +27,19 @@ def unseen_files(spark: SparkSession, folder: str, manifest: DataFrame | None) -
 
 
 def watch(stream: DataFrame, score: Callable[[DataFrame], DataFrame], alerts: str, checkpoint: str, emit_all: bool = False, once: bool = True) -> StreamingQuery:
-    """Score each micro-batch and append alert documents; each file is scored once.
+    """Score each micro-batch and write alert documents, below ``alerts`` in a folder named by the batch.
 
-    ``score`` adds attack_probability, predicted_class, is_attack and
-    recommended_action. With ``once`` the query handles what is there and stops.
+    A batch that is replayed after a failure writes its folder anew, so each
+    file's alerts are there once. ``score`` adds attack_probability,
+    predicted_class, is_attack and recommended_action. With ``once`` the query
+    handles what is there and stops.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, batch_id: int) -> None:
         scored = score(batch)
         chosen = scored if emit_all else scored.where("is_attack")
-        append_alerts(alert_documents(chosen, source=F.col("source_file")), alerts)
+        docs = alert_documents(chosen, source=F.col("source_file"))
+        docs.select("value").write.mode("overwrite").text(f"{alerts}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
@@ -46,24 +49,42 @@ class DriftMonitor:
     """Gathers micro-batches until there are ``window`` rows, then reports PSI against a reference and starts over.
 
     The reference is reduced once to edges and shares (one row per feature and
-    bin); rows in waiting are kept as a written table, not in memory.
+    bin). Nothing is kept in memory: below ``folder``, each batch has its rows
+    (``buffer``) and the state after it (``state``: window, first batch of the
+    window, rows in waiting), each window its report (``reports``), all written
+    over when a batch is replayed. So a restarted monitor goes on where the last
+    written batch ended, and no row counts twice. Batch ids must rise.
     """
 
     def __init__(self, reference: DataFrame, columns: Sequence[str], folder: str, window: int = 500, bins: int = 10) -> None:
         self.reference, self.columns, self.folder, self.window, self.bins = reference, list(columns), folder, window, bins
-        self.waiting = self.windows = 0
+
+    def state(self, spark: SparkSession, before: int) -> tuple[int, int, int]:
+        """(window, its first batch, rows in waiting) as the last batch before this one left them."""
+        path = f"{self.folder}/state"
+        if not _exists(spark, path):
+            return 0, 0, 0
+        last = spark.read.schema("window int, since long, waiting long, batch long").parquet(path).where(F.col("batch") < before).orderBy(F.desc("batch")).first()
+        return (last["window"], last["since"], last["waiting"]) if last else (0, 0, 0)
 
     def observe(self, batch: DataFrame, batch_id: int) -> None:
         """For ``foreachBatch``: writes ``reports`` rows (window, feature, psi, drift)."""
         spark = batch.sparkSession
-        path = f"{self.folder}/buffer-{self.windows}"
-        batch.select(*self.columns).write.mode("append").parquet(path)
-        self.waiting += batch.count()
-        if self.waiting < self.window:
-            return
-        report = drift.psi(self.reference, spark.read.parquet(path), self.columns, self.bins)
-        report.withColumn("window", F.lit(self.windows)).write.mode("append").parquet(f"{self.folder}/reports")
-        self.windows, self.waiting = self.windows + 1, 0
+        number, since, waiting = self.state(spark, batch_id)
+        here = f"{self.folder}/buffer/batch={batch_id}"
+        batch.select(*self.columns).write.mode("overwrite").parquet(here)
+        waiting += spark.read.schema(batch.select(*self.columns).schema).parquet(here).count()
+        if waiting >= self.window:
+            held = spark.read.parquet(f"{self.folder}/buffer").where(F.col("batch").between(since, batch_id)).select(*self.columns)
+            drift.psi(self.reference, held, self.columns, self.bins).write.mode("overwrite").parquet(f"{self.folder}/reports/window={number}")
+            number, since, waiting = number + 1, batch_id + 1, 0
+        after = spark.createDataFrame([(number, since, waiting)], "window int, since long, waiting long").coalesce(1)
+        after.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def prequential(batches: Sequence[DataFrame], fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], first: DataFrame, refit_every: int = 0) -> list[DataFrame]:
