@@ -7,9 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, token_store
+from tidemark.llm import packing, token_store, tokens
 from tidemark.llm.common import table
-from tidemark.llm.tokens import encoder, public_path
+from tidemark.llm.tokens import WordEncoder, public_path
 
 PATH = public_path("byte_bpe_50k.json")
 ODD = ["", None, " ", "a  b", " a b", "a b ", "a\n b", "x <|endoftext|> y", "é  b c", "don't 's a's", "a b c d", "\n\n", "word " * 3000 + "end"]
@@ -22,12 +22,18 @@ def plain():
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def words():
+    with open(PATH, "rb") as f:
+        return WordEncoder(f.read())
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet=" \n\tab'sé1., Ü", max_size=30), max_size=5))
-def test_word_cache_equals_whole_texts(texts):
+@given(texts=st.lists(st.text(alphabet=" \n\tab'sé1., Ü", max_size=30), max_size=5))
+def test_word_cache_equals_whole_texts(words, texts):
     t = Tokenizer.from_file(PATH) if not hasattr(test_word_cache_equals_whole_texts, "t") else test_word_cache_equals_whole_texts.t
     test_word_cache_equals_whole_texts.t = t
-    ids, edges = encoder(PATH).encode(pa.array(texts, pa.string()))
+    ids, edges = words.encode(pa.array(texts, pa.string()))
     assert len(edges) == len(texts) + 1
     for text, a, b in zip(texts, edges, edges[1:], strict=False):
         assert ids[a:b].tolist() == t.encode(text, add_special_tokens=False).ids
@@ -82,6 +88,23 @@ def test_segments_and_lookup(spark, docs, plain, tmp_path, monkeypatch, limits):
     assert found == sorted((d, [*plain(t), 0]) for d, t in rows if d in asked)
 
 
+def test_word_cache_stays_within_its_bound(words, plain, monkeypatch):
+    """All words are alike long, and new ones come without end."""
+    monkeypatch.setattr(tokens, "MAX_WORDS", 500)
+    for k in range(20):
+        text = " ".join(f"x{k}{i:03d}" for i in range(200))
+        ids, _ = words.encode(pa.array([text]))
+        assert ids.tolist() == plain(text) and len(words._key) <= 700
+
+
+def test_groups_hold_all_rows_and_few_bytes():
+    rows = [(i, "x" * n if n is not None else None) for i, n in enumerate([0, 5, 300, None, 40, 40, 40, 90, 1, 0, 250, 3])]
+    batches = [pa.RecordBatch.from_pylist([{"i": i, "t": t} for i, t in rows[a : a + 5]], pa.schema([("i", pa.int64()), ("t", pa.string())])) for a in range(0, 12, 5)]
+    groups = [g.to_pylist() for g in tokens.grouped(iter(batches), size=100)]
+    assert [(r["i"], r["t"]) for g in groups for r in g] == rows
+    assert all(len(g) == 1 or sum(len(r["t"] or "") for r in g) <= 100 for g in groups) and len(groups) < 8
+
+
 def test_store_round_trip(spark, docs, plain, tmp_path):
     rows = [(7 * i % 101 - 3, t) for i, t in enumerate(ODD)] + [(5, "twice"), (5, "twice"), (None, "no id")]
     path = str(tmp_path / "store")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, session
-from tidemark.llm.tokens import encoder, grouped
+from tidemark.llm.tokens import Vocabulary, grouped
 
 #: Parts that a length class is ranked in; the largest class is spread over all of them.
 RANK_PARTS = 256
@@ -26,10 +26,10 @@ def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
     as empty (one piece that holds just ``end_id``); null ids are carried along.
     Returns doc_id, piece, start, length, ids_crc32.
     """
-    session(docs)
+    vocabulary = Vocabulary.ship(session(docs), tokenizer_path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = vocabulary.encoder()
         for batch in grouped(batches):
             ids, borders = enc.encode_ended(batch.column(1), end_id)
             raw = memoryview(ids).cast("B")

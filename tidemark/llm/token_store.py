@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, partitions, session
-from tidemark.llm.tokens import encoder, grouped
+from tidemark.llm.tokens import Vocabulary, grouped
 
 #: A segment ends with the first document that fills it to so many ids, or that is so-manieth.
 SEGMENT_IDS, SEGMENT_DOCS = 1 << 21, 1 << 17
@@ -133,9 +133,10 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows that repeat an id are all written, ordered by their text's hash.
     """
     spark = session(docs)
+    vocabulary = Vocabulary.ship(spark, tokenizer_path)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = vocabulary.encoder()
         kind = np.dtype("<u2" if enc.vocab_size <= 1 << 16 and end_id < 1 << 16 else "<u4")
         shard, seq, first, size, count = TaskContext.get().partitionId(), 0, 0, 0, 0
         parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []

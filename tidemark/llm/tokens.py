@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from tidemark.llm.common import trim
 
 #: Distinct words a worker remembers (about 45 bytes each); beyond it the longer half is forgotten.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 #: Bytes of text encoded at a time.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 3 << 19
 #: Unseen words encoded in one call.
 _JOIN = 512
 
@@ -59,13 +63,13 @@ class WordEncoder:
     tokens count as ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
@@ -120,7 +124,7 @@ class WordEncoder:
         self._at, self._n = np.insert(self._at, place, at[order]), np.insert(self._n, place, n[order])
 
     def _forget(self) -> None:
-        keep = self._n <= np.median(self._n)  # long words are rare words
+        keep = np.sort(np.argsort(self._n, kind="stable")[: len(self._n) // 2])  # long words are rare words
         size = np.maximum(self._n[keep], 0).astype(np.int64)
         kept = self._pool[_ranges(self._at[keep], size)]
         self._key, self._check, self._n, self._at = self._key[keep], self._check[keep], self._n[keep], np.cumsum(size) - size
@@ -186,20 +190,34 @@ class WordEncoder:
         return out, after
 
 
-def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Join Arrow batches until column ``text`` holds ``size`` bytes: larger groups repeat more words."""
+def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Deal rows of Arrow batches into groups whose column ``text`` holds about ``size`` bytes, or one longer text.
+
+    Larger groups repeat more words; smaller ones need less memory.
+    """
+    size = size or GROUP_BYTES
     held: list[pa.RecordBatch] = []
     filled = 0
+
+    def group() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            filled += pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
-        if filled >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, filled = [], 0
-            trim()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, before + size - filled, side="right"))
+            if end > at or not held:
+                end = max(end, at + 1)
+                held.append(batch.slice(at, end - at))
+                filled, at = filled + int(ends[end - 1]) - before, end
+            if at < batch.num_rows:  # the next row doesn't fit
+                yield group()
+                held, filled = [], 0
+                trim()
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield group()
     held = []
     trim()
 
@@ -207,11 +225,25 @@ def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = GROUP_
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process; workers serve many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+@dataclass(frozen=True)
+class Vocabulary:
+    """A vocabulary file on its way to the executors: they need no file of that name."""
+
+    digest: str
+    content: Broadcast
+
+    @staticmethod
+    def ship(spark: SparkSession, path: str) -> Vocabulary:
+        """Read the file on the driver and broadcast its bytes (some MB, whatever the corpus)."""
+        with open(path, "rb") as f:
+            raw = f.read()
+        return Vocabulary(hashlib.sha256(raw).hexdigest(), spark.sparkContext.broadcast(raw))
+
+    def encoder(self) -> WordEncoder:
+        """One encoder a worker process; workers serve many tasks."""
+        if self.digest not in _ENCODERS:
+            _ENCODERS[self.digest] = WordEncoder(self.content.value)
+        return _ENCODERS[self.digest]
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
