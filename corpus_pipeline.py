@@ -57,6 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the ``documents`` table."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    done: list[str] = []
     for name, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        scratch.drop(*done)  # the stage before has been read
+        done = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
