@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import clamp, safe_rate
-from tidemark.operators.cumulative import position
+from tidemark.operators.cumulative import ranged
 
 # --- model updates: rows of (site, pos, value) --------------------------------------------------
 
@@ -181,16 +181,22 @@ def pareto_front(df: DataFrame, low: str, high: str) -> DataFrame:
 
 
 def crowding(front: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Crowding distance: the summed, scaled gap to the neighbours in each objective; infinite at the ends."""
-    spans = front.agg(*[(F.max(c) - F.min(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
-    out = front.crossJoin(F.broadcast(spans))
+    """Crowding distance: the summed, scaled gap to the neighbours in each objective; infinite at the ends.
+
+    ``key`` names a row. Neighbours are found within quantile ranges of the
+    objective; those across a border come from the ranges' ends.
+    """
+    out = front
     for i, c in enumerate(columns):
-        placed = position(out, [c, key], name="_at")
-        beside = placed.select("_at", F.col(c).alias("_v"))
-        after, before = (beside.select((F.col("_at") + move).alias("_at"), F.col("_v").alias(name)) for move, name in ((-1, "_next"), (1, "_last")))
-        wide = placed.join(after, "_at", "left").join(before, "_at", "left")
-        gap = F.when(F.col("_next").isNull() | F.col("_last").isNull(), float("inf")).otherwise(safe_rate(F.col("_next") - F.col("_last"), F.col(f"_s{i}")))
-        out = wide.withColumn(f"_c{i}", gap).drop("_at", "_next", "_last")
+        placed = ranged(front.select(key, F.col(c).alias("_v")), "_v")
+        ends = placed.groupBy("_range").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        whole = Window.partitionBy(F.lit(0))
+        beside = ends.select("_range", F.lag("_hi").over(whole.orderBy("_range")).alias("_last"), F.lead("_lo").over(whole.orderBy("_range")).alias("_next"), (F.max("_hi").over(whole) - F.min("_lo").over(whole)).alias("_span"))
+        within = Window.partitionBy("_range").orderBy("_v", key)
+        last, after = (F.coalesce(f("_v").over(within), F.col(end)) for f, end in ((F.lag, "_last"), (F.lead, "_next")))
+        wide = placed.join(F.broadcast(beside), "_range").select(key, "_span", last.alias("_a"), after.alias("_b"))
+        gap = F.when(F.col("_a").isNull() | F.col("_b").isNull(), float("inf")).otherwise(safe_rate(F.col("_b") - F.col("_a"), F.col("_span")))
+        out = out.join(wide.select(key, gap.alias(f"_c{i}")), key)
     crowded = sum((F.col(f"_c{i}") for i in range(len(columns))), F.lit(0.0))
     return out.select(*front.columns, crowded.alias("crowding"))
 
