@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import closed_forms as cf
 from tidemark.functions import designs as dg
 from tidemark.functions import features as ft
+from tidemark.operators import context as cx
 from tidemark.operators import selection as sl
 from tidemark.operators import summaries as sm
+from tidemark.sources import synthetic as sy
+from tidemark.streaming.kernels import EpsilonGreedy
 
 COLUMNS = ["Destination Port", "Flow Duration", "Flow Bytes/s", "Total Fwd Packets", "Packet Length Mean", "SYN Flag Count", "Init_Win_bytes_forward", "Fwd IAT Mean", "Fwd Header Length", "Weird"]
 
@@ -89,6 +92,35 @@ def test_evasion_and_watermarks(spark):
     assert sl.watermark_accuracy(keys, "owner_label", "owner_label").first()[0] == 1.0
 
 
+def test_inflation_takes_the_best_factors(spark):
+    df = spark.createDataFrame([(i, 1.0 + i, float((i * 7) % 5), 2.0) for i in range(6)], "id long, a double, b double, c double")
+    model = lambda x: x["a"] * (3 - x["b"]) + F.pow(x["c"] - 4, 2)
+    plain = lambda a, b, c: a * (3 - b) + (c - 4) ** 2
+    for r in sl.inflate(df, ["a", "b", "c"], ["c", "a"], model, [1.5, 2.0, 3.0]).collect():
+        c = min((1.0, 1.5, 2.0, 3.0), key=lambda m: (plain(r.a, r.b, r.c * m), m)) * r.c
+        assert r.evaded == pytest.approx(min(plain(r.a * m, r.b, c) for m in (1.0, 1.5, 2.0, 3.0)))
+    assert df.select(sl.complexity(["a", "c"]).alias("n")).where("n < 2.3").count() == 1
+    assert {r.b: r.entries for r in sl.grade_counts(df, "b").collect()} == {0.0: 2, 2.0: 1, 4.0: 1, 1.0: 1, 3.0: 1}
+
+
+def test_fixtures_have_what_they_plant(spark):
+    window = sy.correlated_window(spark, 4000, 3, 0.6)
+    assert sl.dependence_strength(window, ["x0", "x1", "x2"]).first()["mean"] == pytest.approx(0.6, abs=0.05)
+    scored = spark.range(500).select("id", (F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") % 2 == 1, 0.9).otherwise(0.1).alias("score"))
+    stream = sy.host_stream(scored, "y", "score", "id", 1000, 0.3, 600)
+    assert stream.count() == 1000 and stream.where("pos < 600 and y = 1").count() == 0 and 80 < stream.where("y = 1 and score = 0.9").count() < 160
+    graph = sy.graph_events(spark)
+    assert [r.src for r in cx.scans(graph, "src", "dst", "port", 40).collect()] == ["10.0.1.250"]
+    chains = cx.lateral_chains(cx.adjacency(graph.where("port = 3389"), "src", "dst"), 5, 3).collect()
+    assert [len(r.path) for r in chains] == [5]
+
+
+def test_greedy_bandit_settles_on_the_better_action():
+    bandit = EpsilonGreedy(0.1, 2, 1)
+    taken = [bandit.step(0.2, 0.8)[0] for _ in range(400)]
+    assert 0.85 < np.mean(taken[50:]) < 1 and EpsilonGreedy(0.0, 3).step(1.0, 2.0, 3.0) == (0, 1.0)
+
+
 def test_digest_and_counters(spark):
     rng = np.random.default_rng(4)
     values = np.concatenate([rng.lognormal(size=20_000), [1e6]])

@@ -286,6 +286,16 @@ def nearest_centroid(centroids: DataFrame, classes: DataFrame, key: str, label:
     return best.select(key, F.col("m.nearest").alias("nearest"), F.sqrt("m.d").alias("distance"))
 
 
+def grade_counts(df: DataFrame, grade: str, by: Sequence[str] = ()) -> DataFrame:
+    """Entries per grade."""
+    return df.groupBy(*by, grade).agg(F.count(F.lit(1)).alias("entries"))
+
+
+def complexity(features: Sequence[str]) -> Column:
+    """The length of a row's feature vector: a stand-in for how unusual it is."""
+    return F.sqrt(sum((F.col(f).cast("double") * F.col(f).cast("double") for f in features), F.lit(0.0)))
+
+
 # --- attributions -------------------------------------------------------------------------------
 
 
@@ -509,6 +519,23 @@ def search_evasion(df: DataFrame, features: Sequence[str], controllable: Sequenc
     return df.withColumn("evaded", best)
 
 
+def inflate(df: DataFrame, features: Sequence[str], inflatable: Sequence[str], model: Model, factors: Sequence[float], rounds: int = 1) -> DataFrame:
+    """Adds evaded: the lowest score that inflating one column after the other reaches; each takes the factor that lowers it most.
+
+    A row's columns are tried in the order given, ``rounds`` times over, with
+    what was chosen before kept. Factors are 1 or more, and 1 is always tried.
+    """
+    out = df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features]))
+    at = lambda v: {f: F.get(v, F.lit(i)) for i, f in enumerate(features)}
+    for c in list(inflatable) * rounds:
+        k = features.index(c)
+        moved = [F.array(*[v * m if i == k else v for i, v in enumerate(at(F.col("_x")).values())]) for m in sorted({1.0, *map(float, factors)})]
+        # structs compare by their first field, so the least score wins and the smallest factor on ties
+        best = F.array_min(F.array(*[F.struct(model(at(x)).alias("s"), F.lit(j).alias("j"), x.alias("x")) for j, x in enumerate(moved)]))
+        out = out.withColumn("_x", best["x"])
+    return out.withColumn("evaded", model(at(F.col("_x")))).drop("_x")
+
+
 def watermark_keys(df_session, features: int, k: int, scale: float, seed: int) -> DataFrame:
     """``k`` trigger rows far from the data (key, features, owner_label): normal draws of the given scale, labels by fair coins."""
     rng = np.random.default_rng(seed)
