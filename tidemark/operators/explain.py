@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import mix32, safe_rate
+from tidemark.operators.models import PcaResidual
 
 Model = Callable[[Mapping[str, Column]], Column]
 
@@ -165,17 +166,11 @@ def poison(df: DataFrame, key: str, y: str, trigger: Mapping[str, float], rate:
 def spectral_scores(df: DataFrame, features: Sequence[str], out: str = "score") -> DataFrame:
     """Adds the squared projection on the leading direction of the centred columns.
 
-    The direction comes from the covariance, one aggregation of k * (k + 3) / 2 sums.
+    The direction is the first principal component, from one distributed
+    covariance of the columns.
     """
-    k = len(features)
-    cols = [F.col(c).cast("double") for c in features]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(*[F.avg(c) for c in cols], *[F.covar_pop(cols[i], cols[j]) for i, j in pairs]).first()
-    cov = np.zeros((k, k))
-    for (i, j), v in zip(pairs, row[k:], strict=True):
-        cov[i, j] = cov[j, i] = v or 0.0
-    top = np.linalg.eigh(cov)[1][:, -1]
-    part = sum((float(t) * (c - float(m or 0.0)) for t, c, m in zip(top, cols, row[:k], strict=True)), F.lit(0.0))
+    fitted = PcaResidual.fit(df, features, 1)
+    part = sum((float(t) * (F.col(c).cast("double") - float(m)) for t, c, m in zip(fitted.basis[:, 0], features, fitted.mean, strict=True)), F.lit(0.0))
     return df.withColumn(out, F.pow(part, 2))
 
 

@@ -61,8 +61,10 @@ def backdoor_poison(t: Tables) -> DataFrame:
 
 @query()
 def spectral_signatures(t: Tables) -> DataFrame:
-    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return r6(xp.spectral_scores(wide, [f"e{i}" for i in range(8)]).select("vec_id", "score"))
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"e{i}" for i in range(width)]
+    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)])
+    return r6(xp.spectral_scores(wide, names).select("vec_id", "score"))
 
 
 @query(f"WITH {EV}, c AS (SELECT *, abs(score - 0.1) <= 0.05 AS d1, abs(value / 400 - 0.1) <= 0.02 AS d2 FROM ev) SELECT CASE WHEN NOT d1 THEN 0 WHEN NOT d2 THEN 1 ELSE 2 END AS tier, CASE WHEN NOT d1 THEN score >= 0.1 WHEN NOT d2 THEN value / 400 >= 0.1 ELSE value / 300 >= 0.1 END AS decision, count(*) AS n, sum(CASE WHEN NOT d1 THEN 1 WHEN NOT d2 THEN 3 ELSE 9 END)::DOUBLE AS cost FROM c GROUP BY 1, 2")

@@ -66,20 +66,20 @@ def isotonic_calibration(t: Tables) -> DataFrame:
 
 @query()
 def adwin(t: Tables) -> DataFrame:
-    return scan.keyed_scan(ev(t), "label", ["ts", "event_id"], ["value"], kernels.Adwin, "width long, mean double, changed boolean").groupBy("label").agg(F.count_if("changed").alias("changes"), F.max("width").alias("width"))
+    return scan.keyed_scan(ev(t), "user_id", ["ts", "event_id"], ["value"], kernels.Adwin, "width long, mean double, changed boolean").groupBy("user_id").agg(F.count_if("changed").alias("changes"), F.max("width").alias("width"))
 
 
 @query()
 def p2_quantile(t: Tables) -> DataFrame:
-    out = scan.keyed_scan(ev(t), "label", ["ts", "event_id"], ["value"], lambda: kernels.P2Quantile(0.95), "q double")
-    return out.groupBy("label").agg(F.max_by("q", "event_id").alias("q95"))
+    out = scan.keyed_scan(ev(t), "user_id", ["ts", "event_id"], ["value"], lambda: kernels.P2Quantile(0.95), "q double")
+    return out.groupBy("user_id").agg(F.max_by("q", "event_id").alias("q95"))
 
 
 @query()
 def hoeffding_tree(t: Tables) -> DataFrame:
-    e = ev(t).withColumns({"x": F.col("user_id").cast("double"), "big": (F.col("value") > 60).cast("int")})
-    out = scan.keyed_scan(e, "label", ["ts", "event_id"], ["value", "x", "big"], lambda: kernels.HoeffdingTree(2, grace=100), "p double", keep=["big"])
-    return out.groupBy("label").agg(F.avg(((F.col("p") >= 0.5) != (F.col("big") == 1)).cast("double")).alias("error"))
+    e = ev(t).withColumns({"x": F.col("score"), "big": (F.col("value") > 60).cast("int")})
+    out = scan.keyed_scan(e, "user_id", ["ts", "event_id"], ["value", "x", "big"], lambda: kernels.HoeffdingTree(2, grace=100), "p double", keep=["big"])
+    return out.groupBy("user_id").agg(F.avg(((F.col("p") >= 0.5) != (F.col("big") == 1)).cast("double")).alias("error"))
 
 
 @query()
@@ -88,25 +88,25 @@ def adaptive_conformal(t: Tables) -> DataFrame:
     edges = e.where("day <= 10").groupBy("y").agg(F.percentile("score", F.array(*[F.lit(k / 200) for k in range(201)])).alias("q")).collect()
     tables = {r["y"]: list(r["q"]) for r in edges}
     benign, attack = tables[0], [1 - s for s in tables[1]]
-    out = scan.keyed_scan(e.where("day > 10"), "label", ["ts", "event_id"], ["score", "y"], lambda: kernels.AdaptiveConformal(benign, attack, 0.1, 0.02, 10), "b boolean, a boolean, missed boolean, alpha_b double, alpha_a double")
-    return out.groupBy("label").agg(F.avg(F.col("missed").cast("double")).alias("missed"))
+    out = scan.keyed_scan(e.where("day > 10"), "user_id", ["ts", "event_id"], ["score", "y"], lambda: kernels.AdaptiveConformal(benign, attack, 0.1, 0.02, 10), "b boolean, a boolean, missed boolean, alpha_b double, alpha_a double")
+    return out.groupBy("user_id").agg(F.avg(F.col("missed").cast("double")).alias("missed"))
 
 
 @query()
 def fixed_share(t: Tables) -> DataFrame:
     e = ev(t).withColumns({f"l{i}": F.abs(F.col("y") - p) for i, p in enumerate((0.1, 0.4, 0.9))})
-    out = scan.keyed_scan(e, "label", ["ts", "event_id"], ["l0", "l1", "l2"], lambda: kernels.Experts(3, 0.5, 0.02), "hedge double, share double")
-    return out.groupBy("label").agg(F.sum("hedge").alias("hedge"), F.sum("share").alias("share"))
+    out = scan.keyed_scan(e, "user_id", ["ts", "event_id"], ["l0", "l1", "l2"], lambda: kernels.Experts(3, 0.5, 0.02), "hedge double, share double")
+    return out.groupBy("user_id").agg(F.sum("hedge").alias("hedge"), F.sum("share").alias("share"))
 
 
 @query()
 def control_loop(t: Tables) -> DataFrame:
-    v = ev(t).groupBy("label", "day").agg(F.count_if(F.col("value") >= 100).cast("double").alias("volume"))
-    return scan.keyed_scan(v, "label", ["day"], ["volume"], lambda: kernels.LogRateController(8.0), "log_rate double")
+    v = ev(t).groupBy("user_id", "day").agg(F.count_if(F.col("value") >= 100).cast("double").alias("volume"))
+    return scan.keyed_scan(v, "user_id", ["day"], ["volume"], lambda: kernels.LogRateController(8.0), "log_rate double")
 
 
 @query()
 def linear_bandit(t: Tables) -> DataFrame:
     e = ev(t).withColumns({"one": F.lit(1.0), "r0": F.lit(0.0), "r1": F.when(F.col("value") > 60, 1.0).otherwise(-0.3)})
-    out = scan.keyed_scan(e, "label", ["ts", "event_id"], ["one", "score", "r0", "r1"], lambda: kernels.LinearBandit(2, 0.5), "action long, reward double")
-    return out.groupBy("label").agg(F.sum("reward").alias("reward"), F.sum("action").alias("reviews"))
+    out = scan.keyed_scan(e, "user_id", ["ts", "event_id"], ["one", "score", "r0", "r1"], lambda: kernels.LinearBandit(2, 0.5), "action long, reward double")
+    return out.groupBy("user_id").agg(F.sum("reward").alias("reward"), F.sum("action").alias("reviews"))
