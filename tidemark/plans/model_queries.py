@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import models as ml
 from tidemark.operators import ranking as rk
-from tidemark.plans.ranking_queries import ev, r6
+from tidemark.plans.ranking_queries import EV, ev, r6
 from tidemark.plans.registry import Tables, query
 from tidemark.streaming import kernels, scan
 
@@ -92,17 +92,25 @@ def adaptive_conformal(t: Tables) -> DataFrame:
     return out.groupBy("user_id").agg(F.avg(F.col("missed").cast("double")).alias("missed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, [abs(y - 0.1::DOUBLE), abs(y - 0.4::DOUBLE), abs(y - 0.9::DOUBLE)] AS l FROM ev),
+s AS (SELECT user_id, 1::BIGINT AS n, [1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE] AS h, [1 / 3::DOUBLE, 1 / 3::DOUBLE, 1 / 3::DOUBLE] AS f FROM e WHERE n = 1
+ UNION ALL SELECT user_id, n + 1, [x / list_sum(h2) for x in h2], [0.98::DOUBLE * x / list_sum(f2) + 0.02::DOUBLE / 3 for x in f2]
+ FROM (SELECT s.user_id, s.n, [h[i] * exp(-0.5::DOUBLE * l[i]) for i in [1, 2, 3]] AS h2, [f[i] * exp(-0.5::DOUBLE * l[i]) for i in [1, 2, 3]] AS f2 FROM s JOIN e ON s.user_id = e.user_id AND s.n = e.n))
+SELECT user_id, round(sum(list_dot_product(h, l)), 5) AS hedge, round(sum(list_dot_product(f, l)), 5) AS share FROM s JOIN e USING (user_id, n) GROUP BY user_id""")
 def fixed_share(t: Tables) -> DataFrame:
     e = ev(t).withColumns({f"l{i}": F.abs(F.col("y") - p) for i, p in enumerate((0.1, 0.4, 0.9))})
     out = scan.keyed_scan(e, "user_id", ["ts", "event_id"], ["l0", "l1", "l2"], lambda: kernels.Experts(3, 0.5, 0.02), "hedge double, share double")
-    return out.groupBy("user_id").agg(F.sum("hedge").alias("hedge"), F.sum("share").alias("share"))
+    return out.groupBy("user_id").agg(F.round(F.sum("hedge"), 5).alias("hedge"), F.round(F.sum("share"), 5).alias("share"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, v AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n, log10(greatest(count(*) FILTER (value >= 100), 0.5::DOUBLE) / 2) AS e FROM ev GROUP BY user_id, day),
+c AS (SELECT user_id, 0::BIGINT AS n, NULL::INTEGER AS day, -2::DOUBLE AS r, 0::DOUBLE AS t FROM v WHERE n = 1
+ UNION ALL SELECT user_id, n, day, least(-0.3::DOUBLE, greatest(-5, r + least(0.15::DOUBLE, greatest(-0.15::DOUBLE, held - r)))), CASE WHEN held = wanted THEN t2 ELSE t END
+ FROM (SELECT *, least(-0.3::DOUBLE, greatest(-5, wanted)) AS held FROM (SELECT c.user_id, v.n, v.day, r, t, t + e AS t2, r - 0.6::DOUBLE * e - 0.1::DOUBLE * (t + e) AS wanted FROM c JOIN v ON v.user_id = c.user_id AND v.n = c.n + 1)))
+SELECT user_id, day, round(r, 6) AS log_rate FROM c WHERE n > 0""")
 def control_loop(t: Tables) -> DataFrame:
     v = ev(t).groupBy("user_id", "day").agg(F.count_if(F.col("value") >= 100).cast("double").alias("volume"))
-    return scan.keyed_scan(v, "user_id", ["day"], ["volume"], lambda: kernels.LogRateController(8.0), "log_rate double")
+    return r6(scan.keyed_scan(v, "user_id", ["day"], ["volume"], lambda: kernels.LogRateController(2.0), "log_rate double").select("user_id", "day", "log_rate"))
 
 
 @query()
