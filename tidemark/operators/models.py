@@ -209,6 +209,12 @@ def detector_threshold(benign: DataFrame, fpr: float, score: str = "score") -> f
 # --- the deployable bundle ----------------------------------------------------------------------
 
 
+def with_thresholds(df: DataFrame, service: str, by_service: DataFrame, default: float) -> DataFrame:
+    """Adds threshold: the row's service's (a table service, threshold with a row a service), else the default."""
+    dim = F.broadcast(by_service.select(F.col("service").alias(service), F.col("threshold").alias("_t")))
+    return df.join(dim, service, "left").withColumn("threshold", F.coalesce("_t", F.lit(default))).drop("_t")
+
+
 @dataclass
 class Bundle:
     """Features, model, calibration and thresholds of one deployment."""
@@ -227,10 +233,11 @@ class Bundle:
 
     def predict(self, df: DataFrame, profile: str, service: str | None = None, by_service: DataFrame | None = None) -> DataFrame:
         """The serving contract: probability, threshold of the profile (or the row's service), decision, class, action."""
-        out = self.score(df).withColumn("threshold", F.lit(self.thresholds[profile]))
+        out = self.score(df)
         if service and by_service is not None:
-            dim = F.broadcast(by_service.select(F.col("service").alias(service), F.col("threshold").alias("_t")))
-            out = out.join(dim, service, "left").withColumn("threshold", F.coalesce("_t", "threshold")).drop("_t")
+            out = with_thresholds(out, service, by_service, self.thresholds[profile])
+        else:
+            out = out.withColumn("threshold", F.lit(self.thresholds[profile]))
         attack = F.col("attack_probability") >= F.col("threshold")
         return out.withColumns({"is_attack": attack, "predicted_class": F.when(attack, "attack").otherwise("benign"), "recommended_action": F.when(attack, "alert").otherwise("allow")})
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as sc
 from tidemark.operators import cleaning as cl
 from tidemark.operators import context as cx
+from tidemark.operators import models as md
 from tidemark.plans.ranking_queries import EV, LI, ev, li, r6
 from tidemark.plans.registry import Tables, query
 
@@ -246,7 +247,7 @@ def rule_stats(t: Tables) -> DataFrame:
 def service_thresholds(t: Tables) -> DataFrame:
     dim = t.spark.createDataFrame([(k, 0.3) for k in range(5)], "service int, threshold double")
     joined = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).withColumnRenamed("s_nationkey", "service")
-    out = joined.join(F.broadcast(dim), "service", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.6)))
+    out = md.with_thresholds(joined, "service", dim, 0.6)
     return out.groupBy("l_orderkey", "l_linenumber", "service", "threshold").agg(F.count(F.lit(1)).alias("n"))
 
 
