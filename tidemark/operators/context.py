@@ -15,14 +15,32 @@ def as_of_context(df: DataFrame, entity: str, time_us: str, lookback_us: int, di
 
     The frame ends one microsecond before the row, so its own instant and ties
     with it are excluded. The mean gap of n events is their span over n - 1; of
-    a single event the time since it; null without events. Rows shuffle once,
-    on the entity.
+    a single event the time since it; null without events.
+
+    A value counts at t while its last occurrence before t is young enough: that
+    is a span of time for each occurrence, so distinct values are a running sum
+    of spans begun less spans ended, whatever the number of events in the
+    lookback. Null values don't count. Rows shuffle on the entity, and once more
+    for each distinct column.
     """
     w = Window.partitionBy(entity).orderBy(time_us).rangeBetween(-lookback_us, -1)
     n = F.count(F.lit(1)).over(w)
     lo, hi = F.min(time_us).over(w), F.max(time_us).over(w)
     gap = F.when(n > 1, (hi - lo) / (n - 1)).when(n == 1, (F.col(time_us) - hi).cast("double"))
-    return df.withColumns({"ctx_events": n, **{f"ctx_{c}": F.size(F.collect_set(c).over(w)) for c in distinct}, "ctx_gap_us": gap})
+    if not distinct:
+        return df.withColumns({"ctx_events": n, "ctx_gap_us": gap})
+    whole = df.withColumn("_own", F.lit(1))
+    for i, c in enumerate(distinct):
+        same = Window.partitionBy(entity, c).orderBy(time_us)
+        t = F.col(time_us)
+        until = F.least(t + lookback_us, F.min(t).over(same.rangeBetween(1, Window.unboundedFollowing)))
+        spans = df.where(F.col(c).isNotNull()).select(entity, t, until.alias("_until"), F.lag(t).over(same).alias("_last")).where(F.col("_last").isNull() | (F.col("_last") < t))
+        marks = F.array(F.struct(t.alias(time_us), F.lit(1).alias(f"_d{i}")), F.struct(F.col("_until").alias(time_us), F.lit(-1).alias(f"_d{i}")))
+        whole = whole.unionByName(spans.select(entity, marks.alias("_m")).select(entity, F.inline("_m")), allowMissingColumns=True)
+    before = Window.partitionBy(entity).orderBy(time_us).rangeBetween(Window.unboundedPreceding, -1)
+    held = {f"ctx_{c}": F.coalesce(F.sum(f"_d{i}").over(before), F.lit(0)).cast("int") for i, c in enumerate(distinct)}
+    counted = whole.withColumns(held).where("_own = 1").select(*df.columns, *held)
+    return counted.withColumns({"ctx_events": n, "ctx_gap_us": gap}).select(*df.columns, "ctx_events", *held, "ctx_gap_us")
 
 
 def leaky_context(df: DataFrame, entity: str, distinct: Sequence[str] = ()) -> DataFrame:
