@@ -15,9 +15,9 @@ from pyspark.sql import SparkSession
 from tidemark.llm.common import trim
 
 #: Distinct words a worker remembers (about 45 bytes each); beyond it the longer half is forgotten.
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 #: Bytes of text encoded at a time.
-GROUP_BYTES = 3 << 19
+GROUP_BYTES = 2 << 20
 #: Unseen words encoded in one call.
 _JOIN = 512
 
