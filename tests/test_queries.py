@@ -52,3 +52,14 @@ def test_plans_stay_in_the_engine(spark, sf_dir):
         assert "Python" not in plan and "MapInArrow" not in plan and "CartesianProduct" not in plan, name
     plan = catalogue.QUERIES["class_detection"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "PushedFilters: [IsNotNull(l_returnflag), Not(EqualTo(l_returnflag,N))]" in plan
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 900.0, "view"), (2, 700.0, "error"), (3, 600.0, "view"), (7, 30.0, "view"), (4, 20.0, "view"), (5, 10.0, "purchase"), (6, 9.0, "view")], [(1, 90.0, "error"), (2, None, "view"), (3, 80.0, "error")]])
+def test_best_threshold_at_a_loss(spark, tmp_path, rows):
+    """The best prefix counts where none pays, and an empty table has none."""
+    spark.createDataFrame([(i, v, kind) for i, v, kind in rows], "event_id long, value double, event_type string").selectExpr("*", "1L AS user_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLES["best_threshold_reward"]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES["best_threshold_reward"](spark, str(tmp_path)).collect()]
+    assert got == want and len(got) == min(len(rows), 1)

@@ -177,11 +177,18 @@ def best_expert(losses: DataFrame, segment: str, expert: str, loss: str) -> Data
     return total.groupBy(segment).agg(F.min(F.struct("total", expert)).alias("b")).select(segment, F.col(f"b.{expert}").alias("best"), F.col("b.total").alias("total"))
 
 
-def best_threshold_reward(df: DataFrame, reward: str, score: str = "score") -> DataFrame:
-    """The prefix of descending scores, cut at tie-group ends, with the largest total reward; nothing if none pays."""
+def best_threshold_reward(df: DataFrame, reward: str, score: str = "score", idle: bool = True) -> DataFrame:
+    """The prefix of descending scores, cut at tie-group ends, with the largest total reward; of equal ones the shortest.
+
+    With ``idle``, nothing is acted on where no prefix pays: an infinite
+    threshold and no reward. Without it the best prefix is returned at a loss
+    too, and an empty table has none.
+    """
     ties = df.groupBy(F.col(score).alias("score")).agg(F.sum(reward).alias("g"))
     ran = cumulative(ties, "score", ["g"], descending=True)
     best = ran.agg(F.max(F.struct("cum_g", F.col("score"))).alias("b"))
+    if not idle:
+        return best.where("b is not null").select(F.col("b.score").alias("threshold"), F.col("b.cum_g").alias("reward"))
     pays = F.col("b.cum_g") > 0
     return best.select(F.when(pays, F.col("b.score")).otherwise(float("inf")).alias("threshold"), F.when(pays, F.col("b.cum_g")).otherwise(0.0).alias("reward"))
 
