@@ -88,6 +88,53 @@ def test_large_buckets_lose_no_link(docs, monkeypatch, block, size):
     check(docs, rows, 3, 85)
 
 
+def edited(rng, base, edits, words=10**6):
+    """``base`` with as many words replaced by others."""
+    out = list(base)
+    for k in rng.sample(range(len(base)), edits):
+        out[k] = f"x{rng.randrange(words)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize(("seed", "fan", "percent"), [(1, 32, 85), (2, 3, 85), (3, 100, 70), (4, 0, 85)])
+def test_large_groups_lose_no_link(docs, monkeypatch, seed, fan, percent):
+    """Texts edited alike, around the threshold of each other, with and without the text they come from, on lists of one and more shared shingles."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "FAN", fan)
+    monkeypatch.setattr(near_dedup, "STRIP", 7)
+    rng = random.Random(seed)
+    rows = []
+    for k in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        rows += [(1000 * k + i, edited(rng, base[: 100 - i % 9], rng.choice((2, 3, 3, 4, 6)), 3)) for i in range(60)]
+        if k == 1:
+            rows.append((5000, " ".join(base)))
+    check(docs, rows, 3, percent)
+
+
+def test_rows_grow_with_the_size_of_a_group(spark, docs, monkeypatch):
+    """Four times as many texts that are alike but under the threshold write about four times the rows, not sixteen times."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(rng, base, 5)) for i in range(400)]
+    written = {}
+    put = Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    made = []
+    for n in (100, 400):
+        written.clear()
+        near_dedup.near_duplicate_classes(docs(rows[:n]), 3, 85).count()
+        made.append((max(written.values()), sum(written.values())))
+    assert made[1][0] <= 6 * made[0][0] and made[1][1] <= 6 * made[0][1]
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d", 1, 2), (2, "a b c d", 3, 4)], "doc_id long, text string, rep long, kept int")
     assert [tuple(r) for r in near_dedup.drop_near_duplicates(df).collect()] == [(1, "a b c d", 1, 2)]

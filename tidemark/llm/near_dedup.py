@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,12 @@ BROADCAST_BUCKETS = 500_000
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Components of a split bucket whose best-placed member is tried as a hub.
 CENTRES = 4
+#: A shingle that more than this part of a group holds counts as common there: its count goes to every member.
+COMMON = 16
+#: Lists that a member of a whole group is put on for, on average, at most; deeper, no more than it has blocks to meet.
+FAN = 32
+#: Shingles whose places among the members are multiplied at a time.
+STRIP = 2048
 #: Bytes of text hashed at a time.
 SLAB = 1 << 20
 
@@ -270,12 +276,16 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
        components, as long as that joins any: the text that a group's copies
        were edited from shares more bands with them than they share with each
        other.
-    5. Buckets that hold several components even then are the remainder: there,
-       in blocks of bounded rows and bytes, all members of different components
-       are compared by sketch, and the members that are near enough to another
-       meet again with their full sets. A block only gives out the links that
-       join components, never its pairs. So no link between components is lost
-       to the hubs.
+    5. Buckets of more than one block that hold several components even then are
+       joined exactly by what their members' full sets do not share with the
+       group's common text (``_group_links``): each member goes on a few lists,
+       whatever the size of the group.
+    6. Smaller buckets that hold several components are the remainder: there, in
+       blocks of bounded rows and bytes, all members of different components are
+       compared by sketch, and the members that are near enough to another meet
+       again with their full sets. A block only gives out the links that join
+       components, never its pairs. So no link between components is lost to the
+       hubs.
 
     Returns one row per input row: doc_id, n_shingles, component_id (smallest id
     reachable, itself included), kept (doc_id = component_id). Documents without
@@ -290,7 +300,7 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     members = sketch.where("fingerprint is not null and doc_id is not null")
     reps = scratch.put(members.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "reps")
 
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "value"))
+    rows = reps.select("rep", "n", F.posexplode("bands").alias("band", "value"))
     orders = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in _HUBS]
     buckets = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*orders)).alias("hubs")).where("size > 1")
     inside = scratch.put(rows.join(buckets, ["band", "value"]), "buckets")
@@ -299,17 +309,18 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     links = _verify(pairs, docs, width, percent, scratch, "hubs")
     component = scratch.put(connected_components(links, scratch, "hub-components"), "merged")
 
-    large, turn = inside.where(F.col("size") > BLOCK).select("band", "value", "rep"), 0
+    large, turn = inside.where(F.col("size") > BLOCK).select("band", "value", "rep", "n"), 0
     while not large.isEmpty():
         turn += 1
-        split = _split(large, component, reps, scratch, f"large-{turn}")
-        central = scratch.put(_likely(_central_pairs(split), reps, percent), f"central-{turn}")
+        large = _split(large, component, scratch, f"large-{turn}")
+        central = scratch.put(_likely(_central_pairs(large), reps, percent), f"central-{turn}")
         links = _verify(central, docs, width, percent, scratch, f"central-{turn}")
         if links.isEmpty():  # the next turn would try the same members again
             break
         component = _merged(component, links, scratch, f"components-{turn}")
-        large = split.select("band", "value", "rep")
-    split = _split(inside.where("size > 2").select("band", "value", "rep"), component, reps, scratch, "split")
+    if not large.isEmpty():
+        component = _merged(component, _group_links(large, docs, width, percent, scratch), scratch, "components-groups")
+    split = _split(inside.where((F.col("size") > 2) & (F.col("size") <= BLOCK)).select("band", "value", "rep", "n"), component, scratch, "split")
     if not split.isEmpty():
         component = _merged(component, _remainder(split, reps, docs, width, percent, scratch), scratch, "components")
     scratch.drop("buckets", "pairs", "split", *(f"{name}-{k}" for k in range(1, turn + 1) for name in ("large", "central")))
@@ -341,13 +352,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
 _KEY = ["band", "value", "i", "j"]
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _by_key(batches: Iterator[pa.RecordBatch], key: list[str] = _KEY) -> Iterator[pa.Table]:
     """The rows of one key after the other, from batches sorted by it."""
     kept: list[pa.RecordBatch] = []
     for batch in batches:
         while batch.num_rows:
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _KEY], axis=1)
-            last = np.array([kept[0].column(c)[0].as_py() for c in _KEY]) if kept else keys[0]
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
+            last = np.array([kept[0].column(c)[0].as_py() for c in key]) if kept else keys[0]
             same = (keys == last).all(axis=1)
             end = len(same) if same.all() else int(np.argmin(same))
             if end:
@@ -390,17 +401,17 @@ def _merged(component: DataFrame, links: DataFrame, scratch: Scratch, name: str)
     return scratch.put(connected_components(joined, scratch, name), f"{name}-merged")
 
 
-def _split(members: DataFrame, component: DataFrame, reps: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _split(members: DataFrame, component: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The members of buckets that hold several components: band, value, rep, root, n, size and the bucket's shingles.
 
     Partial minima, maxima and sums leave one row a bucket and task, so a hot
     bucket is no large group here.
     """
     key = ["band", "value"]
-    held = scratch.put(members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("root")), f"{name}-held")
+    held = scratch.put(members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("root"), "n"), f"{name}-held")
     split = scratch.put(held.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(key), f"{name}-buckets")
     few = split.count() <= BROADCAST_BUCKETS
-    wide = scratch.put(held.join(F.broadcast(split) if few else split, key).join(reps.select("rep", "n"), "rep"), f"{name}-rows")
+    wide = scratch.put(held.join(F.broadcast(split) if few else split, key), f"{name}-rows")
     sizes = wide.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     out = scratch.put(wide.join(F.broadcast(sizes) if few else sizes, key), name)
     scratch.drop(f"{name}-held", f"{name}-buckets", f"{name}-rows")
@@ -418,12 +429,149 @@ def _central_pairs(split: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
+def _group_links(large: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join different components in buckets of more than one block; exact, for every pair of a bucket.
+
+    Buckets with the same best-placed member are one group. Let C be the
+    shingles that more than half of a group holds (any C is right, this one is
+    short to describe members by), and A' what A and C do not share. Then A and
+    B differ where A' and B' differ, and
+
+        J(A, B) >= p %  iff  |A' & B'| >= (v(A) + v(B)) / (2 (100 + p)),  v(A) = (100 + p) |A'| - (100 - p) |A|.
+
+    So members need to meet only where their differences do. Shingles of A' are
+    ordered from rare to common, those that no other member's difference has are
+    counted and dropped, and a pair that must share o of them shares its first
+    within the first |A'| - o + 1 of each: members go on a list for each of
+    these. On a list whose members share l shingles, those that must share no
+    more are linked to the member of least v without a comparison (every such
+    pair is linked, and both to that member). For the others a list of more than
+    ``BLOCK`` members goes on to lists of l + 1 shared shingles by the same rule,
+    until lists are short or hold one component. Short lists are compared by the
+    full differences. A list that would go on to more rows than its blocks have
+    pairs is compared in blocks in place of that.
+    """
+    key, whole = ["band", "value"], 2 * (100 + percent)
+    placed = large.groupBy("rep").agg(F.sum("size").alias("met"))
+    best = large.select(*key, "rep").join(placed, "rep").groupBy(key).agg(F.max(F.struct("met", "rep"))["rep"].alias("grp"))
+    few = best.count() <= BROADCAST_BUCKETS
+    members = scratch.put(large.join(F.broadcast(best) if few else best, key).select("grp", "rep", "root").distinct(), "group-members")
+    sets = _sets(members.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "group")
+    held = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column(1)]
+            grp = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["grp", "token"])
+
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    counts = held.select("grp", "shingles").mapInArrow(explode, "grp long, token long").groupBy("grp", "token").agg(F.count(F.lit(1)).alias("c"))
+    common = counts.join(F.broadcast(sizes), "grp").where(COMMON * F.col("c") > F.col("size"))
+    common = scratch.put(common.groupBy("grp", "size").agg(F.sort_array(F.collect_list(F.struct("token", "c"))).alias("t")).select("grp", "size", "t.token", "t.c"), "group-common")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, often, rarely = [], [], []
+            for raw, size, token, c in zip(batch.column(3), batch.column(4).to_pylist(), batch.column(5), batch.column(6), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                token, c = (np.empty(0, np.int64) if x.values is None else x.values.to_numpy() for x in (token, c))
+                has, centre = np.isin(token, own), 2 * c > size
+                gap, times = has != centre, np.where(centre, size - c, c)
+                rare = own[~np.isin(own, token)]
+                v.append((100 + percent) * (int(gap.sum()) + len(rare)) - (100 - percent) * len(own))
+                often.append([{"c": int(times[k]), "token": int(token[k])} for k in np.flatnonzero(gap & (times > 1))])
+                rarely.append(rare)
+            kind = pa.list_(pa.struct([("c", pa.int64()), ("token", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(v, pa.int64()), pa.array(often, kind), pa.array(rarely, pa.list_(pa.int64()))], names=["grp", "rep", "root", "v", "often", "rarely"])
+
+    apart = held.join(F.broadcast(common), "grp", "left").select("grp", "rep", "root", "shingles", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("token", F.array()).alias("token"), F.coalesce("c", F.array()).alias("c"))
+    apart = scratch.put(apart.mapInArrow(differ, "grp long, rep long, root long, v long, often array<struct<c long, token long>>, rarely array<long>"), "group-apart")
+    met = apart.select("grp", "rep", F.explode("rarely").alias("token")).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("grp", "token"))).where("c > 1")
+    met = met.groupBy("grp", "rep").agg(F.collect_list(F.struct("c", "token")).alias("met"))
+    ordered = F.array_sort(F.concat("often", F.coalesce("met", F.array())))["token"]
+    rows = apart.join(met, ["grp", "rep"], "left").select(F.col("grp").alias("list"), "rep", "root", "v", ordered.alias("tokens"), F.lit(-1).alias("at"))
+    rows = scratch.put(rows, "group-lists-0")
+
+    links, depth = [], 0
+    while True:
+        per = rows.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("tokens")).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("v", "rep", "root")).alias("least"))
+        per = scratch.put(per.where("lo <> hi").select("list", "size", "held", F.col("least.v").alias("least"), F.col("least.rep").alias("hub"), F.col("least.root").alias("hub_root")), f"group-sizes-{depth}")
+        some = F.broadcast(per) if per.count() <= BROADCAST_BUCKETS else per
+        must = F.greatest(F.lit(depth + 1), F.ceil((F.col("v") + F.col("least")) / whole)).cast("int")
+        on = F.greatest(F.lit(0), F.size("tokens") - must + depth - F.col("at"))
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("held") / BLOCK_BYTES)).cast("int")
+        wide = scratch.put(rows.join(some, "list").withColumns({"on": on, "blocks": blocks}), f"group-wide-{depth}")
+        links.append(scratch.put(wide.where((F.col("v") + F.col("least") <= whole * depth) & (F.col("root") != F.col("hub_root"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), f"group-stars-{depth}"))
+        fan = FAN * F.col("size") if not depth else F.lit(0)
+        goes = wide.groupBy("list", "size", "blocks").agg(F.sum("on").alias("on")).where((F.col("size") > BLOCK) & (F.col("on") <= F.greatest(fan, F.col("size") * F.col("blocks"))))
+        goes = scratch.put(goes.select("list"), f"group-goes-{depth}")
+        some = F.broadcast(goes) if goes.count() <= BROADCAST_BUCKETS else goes
+        links.append(scratch.put(_list_links(wide.join(some, "list", "left_anti"), percent).distinct(), f"group-links-{depth}"))
+        ahead = wide.join(some, "list", "left_semi").where("on > 0").withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("on"))))
+        rows = scratch.put(ahead.select(F.xxhash64("list", F.get("tokens", "at")).alias("list"), "rep", "root", "v", "tokens", "at"), f"group-lists-{depth + 1}")
+        scratch.drop(f"group-lists-{depth}", f"group-sizes-{depth}", f"group-wide-{depth}", f"group-goes-{depth}")
+        depth += 1
+        if rows.isEmpty():
+            break
+    found = scratch.put(reduce(DataFrame.unionByName, links).distinct(), "group-found")
+    scratch.drop("group-members", "group-ids", "group-sets", "group-common", "group-apart", f"group-lists-{depth}", *(f"group-{k}-{d}" for k in ("stars", "links") for d in range(depth)))
+    return found
+
+
+def _list_links(wide: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components on lists: list, rep, root, v, tokens and the list's number of blocks."""
+    parts = partitions(session(wide))
+    key = ["list", "i", "j"]
+    dealt = wide.withColumns({"block": F.pmod(F.xxhash64("rep"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    dealt = dealt.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "v", "tokens")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(batches, key):
+            i, j = (rows.column(c)[0].as_py() for c in ("i", "j"))
+            block, rep, root, v = (rows.column(c).to_numpy() for c in ("block", "rep", "root", "v"))
+            if (root == root[0]).all() or (i != j and len({*block.tolist()}) < 2):
+                continue
+            tokens = rows.column("tokens").combine_chunks()
+            row = np.repeat(np.arange(len(rep)), tokens.value_lengths().to_numpy())
+            _, place, times = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            row, place = row[times[place] > 1], (np.cumsum(times > 1) - 1)[place[times[place] > 1]]
+            order = np.argsort(place, kind="stable")
+            row, place = row[order], place[order]
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            both = np.zeros((len(left), len(right)), dtype=np.float32)
+            for at in range(0, int((times > 1).sum()), STRIP):
+                lo, hi = np.searchsorted(place, [at, at + STRIP])
+                strip = np.zeros((len(rep), STRIP), dtype=np.float32)
+                strip[row[lo:hi], place[lo:hi] - at] = 1
+                both += strip[left] @ strip[right].T
+            good = (2 * (100 + percent) * both.astype(np.int64) >= v[left][:, None] + v[right][None, :]) & (root[left][:, None] != root[right][None, :])
+            up: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (p := up.get(c, c)) != c:
+                    c = p
+                return c
+
+            found: list[tuple[int, int]] = []
+            for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(good, 1) if i == j else good)), strict=True):
+                x, y = left[x], right[y]
+                a, b = find(int(root[x])), find(int(root[y]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        trim()
+
+    return dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+
+
 def _remainder(split: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join different components in the split buckets.
 
-    A bucket of s members is dealt into blocks, and every pair of its blocks
-    meets in one task: s * s / BLOCK rows for a bucket whose members the hubs
-    have not joined.
+    A bucket, of ``BLOCK`` members at most, is dealt into blocks by its bytes,
+    and every pair of its blocks meets in one task.
     """
     spark, cut = session(split), estimate_cut(percent / 100)
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("shingles") / BLOCK_BYTES)).cast("int")
