@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import near_dedup
+from tidemark.llm import components, near_dedup
 from tidemark.llm.common import Scratch, table
 from tidemark.llm.components import connected_components
 
@@ -192,3 +192,69 @@ def test_components_of_paths_stars_and_loops(spark):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in list(root)}
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components_on_the_driver_and_in_rounds(spark, monkeypatch, most):
+    """Random links, a path with its ends inside, a star around its largest node and repeats: both ways agree with a search."""
+    monkeypatch.setattr(components, "DRIVER_LINKS", most)
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)]
+    path = [1000 + rng.randrange(10**6) for _ in range(64)]
+    links += [*zip(path, path[1:]), *((2 * 10**6, 10**6 + 5000 * i) for i in range(300, 340)), (-5, 2**62), (2**62, -5), (9, 9), (None, 1)]
+    near = {}
+    for a, b in links:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x] if x not in want else []
+        while todo:
+            if (y := todo.pop()) not in want:
+                want[y] = x
+                todo += near[y]
+    rows = connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "c").collect()
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "c").collect() == []
+
+
+@pytest.mark.parametrize("percent", [85, 70])
+def test_large_groups_without_memory_or_broadcasts(docs, monkeypatch, percent):
+    """The ways for what is too large for the driver or a broadcast find the same classes."""
+    monkeypatch.setattr(components, "DRIVER_LINKS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_dedup, "BROADCAST_BUCKETS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, edited(rng, base, rng.choice((2, 3, 4)), 3)) for i in range(50)] + [(100 + i, edited(rng, base[:60], 2)) for i in range(12)]
+    rows += [(7, " ".join(base[:60])), (7, " ".join(base[40:])), (200, " ".join(base[:58]))]
+    got = near_dedup.near_duplicate_classes(docs(rows[:-3]), 3, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows[:-3], 3, percent)
+    one = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_classes(docs(rows), 3, percent).collect()}
+    assert one[7] == one[200] == min(x for x in one if one[x] == one[200])
+
+
+def test_a_run_has_few_tasks(spark, docs, monkeypatch):
+    """With a large group of copies that no hub links, the number of shuffles decides how long many small partitions take."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(rng, base, 5)) for i in range(200)] + [(1000 + i, edited(rng, base[:70], 1)) for i in range(20)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    context = spark.sparkContext
+    try:
+        for k, v in zip(old, ("40", "false", "256k"), strict=True):
+            spark.conf.set(k, v)
+        context.setJobGroup("few-tasks", "few tasks")
+        near_dedup.near_duplicate_classes(docs(rows), 3, 85).count()
+    finally:
+        context._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    done = sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+    assert 500 < done < 1800

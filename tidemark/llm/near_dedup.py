@@ -23,7 +23,7 @@ MANTISSA = 10
 SLACK = 5.0
 #: Ids that are broadcast at most (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Buckets that are broadcast at most (12 bytes each); beyond it the join shuffles.
+#: Buckets that are broadcast at most (28 bytes each); beyond it the join shuffles.
 BROADCAST_BUCKETS = 500_000
 #: Documents, and bytes of their shingle sets, that one block of the remainder holds on average.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
@@ -201,12 +201,21 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(sketch, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose estimate is near enough."""
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids`` to join with, as a broadcast while its values are at most ``BROADCAST_IDS``."""
+    return F.broadcast(ids) if len(ids.columns) * ids.count() <= BROADCAST_IDS else ids
+
+
+def _likely(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``met`` (rep, hub) whose sizes allow the similarity and whose estimate is near enough.
+
+    Repeats of a pair meet at its ``rep``, which has few hubs; only the second
+    join is by hub. Repeated ids may leave a few repeats of a pair.
+    """
     cut = estimate_cut(percent / 100)
-    sides = pairs
-    for side in ("a", "b"):
-        sides = sides.join(reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("bands").alias(f"bands_{side}")), side)
+    own = met.groupBy("rep").agg(F.collect_set("hub").alias("hubs")).join(reps.select("rep", "n", "bands"), "rep")
+    own = own.select(F.col("rep").alias("a"), F.explode("hubs").alias("b"), F.col("n").alias("n_a"), F.col("bands").alias("bands_a"))
+    sides = own.join(reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("bands").alias("bands_b")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,16 +224,18 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             n_a, n_b = (batch.column(k).to_numpy() for k in (2, 3))
             equal = (_bands(batch.column(4)) == _bands(batch.column(5))).sum(axis=1)
             good = estimate(equal, n_a, n_b) >= cut
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            found = np.unique(np.stack([batch.column(k).to_numpy()[good] for k in (0, 1)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[k]) for k in (0, 1)], names=["a", "b"])
 
     close = sides.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bands_a", "bands_b")
-    return close.mapInArrow(keep, "a long, b long").distinct()
+    return close.mapInArrow(keep, "a long, b long")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
-    """(doc_id, shingles) of the documents in ``ids``: their full shingle sets, made anew from the texts."""
-    ids = scratch.put(ids, f"{name}-ids")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """(doc_id, shingles) of the documents in ``ids``, which may repeat: their full shingle sets, made anew from the texts."""
+    if ids.count() > BROADCAST_IDS:
+        ids = scratch.put(ids.distinct(), f"{name}-ids")
+    some = _few(ids)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,8 +246,8 @@ def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: s
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    sets = _sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs, width, scratch, name)
+    """The pairs whose full shingle sets reach the similarity; repeats stay."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width, scratch, name)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +261,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     wide = pairs
     for side in ("b", "a"):
         wide = wide.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
-    links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
+    links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-ids")
     return links
 
@@ -304,28 +315,31 @@ def near_duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, i
     orders = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in _HUBS]
     buckets = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.array_distinct(F.array(*orders)).alias("hubs")).where("size > 1")
     inside = scratch.put(rows.join(buckets, ["band", "value"]), "buckets")
-    stars = inside.select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
-    pairs = scratch.put(_likely(stars.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), reps, percent), "pairs")
+    stars = inside.select("rep", "hubs", F.explode("hubs").alias("hub")).where("rep <> hub and (rep > hub or not array_contains(hubs, rep))")  # two hubs meet once
+    pairs = scratch.put(_likely(stars.select("rep", "hub"), reps, percent), "pairs")
     links = _verify(pairs, docs, width, percent, scratch, "hubs")
     component = scratch.put(connected_components(links, scratch, "hub-components"), "merged")
 
-    large, turn = inside.where(F.col("size") > BLOCK).select("band", "value", "rep", "n"), 0
+    large, turn = inside.where(F.col("size") > BLOCK), 0
     while not large.isEmpty():
         turn += 1
         large = _split(large, component, scratch, f"large-{turn}")
-        central = scratch.put(_likely(_central_pairs(large), reps, percent), f"central-{turn}")
+        if large.isEmpty():
+            break
+        large = scratch.put(large.withColumn("met", F.sum("size").over(Window.partitionBy("rep"))), f"placed-{turn}")
+        central = scratch.put(_likely(_central_pairs(large, scratch, f"centres-{turn}"), reps, percent), f"central-{turn}")
         links = _verify(central, docs, width, percent, scratch, f"central-{turn}")
         if links.isEmpty():  # the next turn would try the same members again
             break
-        component = _merged(component, links, scratch, f"components-{turn}")
+        component = _merged(component, _between(links, component), scratch, f"components-{turn}")
     if not large.isEmpty():
         component = _merged(component, _group_links(large, docs, width, percent, scratch), scratch, "components-groups")
-    split = _split(inside.where((F.col("size") > 2) & (F.col("size") <= BLOCK)).select("band", "value", "rep", "n"), component, scratch, "split")
+    split = _split(inside.where((F.col("size") > 2) & (F.col("size") <= BLOCK)), component, scratch, "split")
     if not split.isEmpty():
         component = _merged(component, _remainder(split, reps, docs, width, percent, scratch), scratch, "components")
-    scratch.drop("buckets", "pairs", "split", *(f"{name}-{k}" for k in range(1, turn + 1) for name in ("large", "central")))
+    scratch.drop("buckets", "pairs", "split", *(f"{name}-{k}" for k in range(1, turn + 1) for name in ("large", "placed", "centres", "central")))
 
-    of_rep = reps.select("fingerprint", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("root"))
+    of_rep = reps.select("fingerprint", "rep").join(_few(component.withColumnRenamed("node", "rep")), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("root"))
     least = sketch.select("doc_id", "n_shingles", "fingerprint").join(of_rep, "fingerprint", "left")
     return least.select(
         "doc_id",
@@ -393,12 +407,22 @@ def _near(rows: pa.Table, percent: int, cut: float) -> Iterator[tuple[int, np.nd
                 yield x, with_[good], near[good]
 
 
+def _between(links: DataFrame, component: DataFrame) -> DataFrame:
+    """The links (a, b) as links of components; those inside one are gone."""
+    for side in ("a", "b"):
+        of = _few(component.select(F.col("node").alias(side), F.col("component").alias("root")))
+        links = links.join(of, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    return links.where("a <> b")
+
+
 def _merged(component: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The components (node, component) after further links (a, b)."""
+    """The components (node, component) after further links (a, b) of components; only these links are contracted."""
     if links.isEmpty():
         return component
-    joined = links.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return scratch.put(connected_components(joined, scratch, name), f"{name}-merged")
+    roots = scratch.put(connected_components(links, scratch, name), f"{name}-roots")
+    moved = component.join(_few(roots.select(F.col("node").alias("root"), F.col("component").alias("least"))), F.col("component") == F.col("root"), "left")
+    moved = moved.where("root is null or node <> root").select("node", F.coalesce("least", "component").alias("component"))
+    return scratch.put(moved.unionByName(roots), f"{name}-merged")
 
 
 def _split(members: DataFrame, component: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -408,29 +432,27 @@ def _split(members: DataFrame, component: DataFrame, scratch: Scratch, name: str
     bucket is no large group here.
     """
     key = ["band", "value"]
-    held = scratch.put(members.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("root"), "n"), f"{name}-held")
-    split = scratch.put(held.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(key), f"{name}-buckets")
-    few = split.count() <= BROADCAST_BUCKETS
-    wide = scratch.put(held.join(F.broadcast(split) if few else split, key), f"{name}-rows")
-    sizes = wide.groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
-    out = scratch.put(wide.join(F.broadcast(sizes) if few else sizes, key), name)
-    scratch.drop(f"{name}-held", f"{name}-buckets", f"{name}-rows")
+    held = members.join(_few(component.withColumnRenamed("node", "rep")), "rep", "left").select(*key, "rep", F.coalesce("component", "rep").alias("root"), "n")
+    held = scratch.put(held, f"{name}-held")
+    of = held.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    split = scratch.put(of.where("lo <> hi").drop("lo", "hi"), f"{name}-buckets")
+    out = scratch.put(held.join(F.broadcast(split) if split.count() <= BROADCAST_BUCKETS else split, key), name)
+    scratch.drop(f"{name}-held", f"{name}-buckets")
     return out
 
 
-def _central_pairs(split: DataFrame) -> DataFrame:
-    """(a, b): each member of a split bucket with the central members of other components, ``CENTRES`` at most."""
+def _central_pairs(split: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(rep, hub): each member of a split bucket with the central members of other components, ``CENTRES`` at most."""
     key = ["band", "value"]
-    placed = split.groupBy("rep").agg(F.sum("size").alias("met"))
-    best = split.join(placed, "rep").groupBy(*key, "root").agg(F.max(F.struct("met", "rep")).alias("best"))
+    best = split.groupBy(*key, "root").agg(F.max(F.struct("met", "rep")).alias("best"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("best")))
-    hubs = best.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select(*key, F.col("root").alias("hub_root"), F.col("best.rep").alias("hub"))
-    met = split.join(hubs, key).where("root <> hub_root")
-    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    hubs = scratch.put(best.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select(*key, F.col("root").alias("hub_root"), F.col("best.rep").alias("hub")), name)
+    met = split.join(F.broadcast(hubs) if hubs.count() <= BROADCAST_BUCKETS else hubs, key)
+    return met.where("root <> hub_root").select("rep", "hub")
 
 
 def _group_links(large: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join different components in buckets of more than one block; exact, for every pair of a bucket.
+    """Links (a, b) of different components in buckets of more than one block; exact, for every pair of a bucket.
 
     Buckets with the same best-placed member are one group. Let C be the
     shingles that more than half of a group holds (any C is right, this one is
@@ -452,11 +474,10 @@ def _group_links(large: DataFrame, docs: DataFrame, width: int, percent: int, sc
     pairs is compared in blocks in place of that.
     """
     key, whole = ["band", "value"], 2 * (100 + percent)
-    placed = large.groupBy("rep").agg(F.sum("size").alias("met"))
-    best = large.select(*key, "rep").join(placed, "rep").groupBy(key).agg(F.max(F.struct("met", "rep"))["rep"].alias("grp"))
+    best = scratch.put(large.groupBy(key).agg(F.max(F.struct("met", "rep"))["rep"].alias("grp")), "group-best")
     few = best.count() <= BROADCAST_BUCKETS
     members = scratch.put(large.join(F.broadcast(best) if few else best, key).select("grp", "rep", "root").distinct(), "group-members")
-    sets = _sets(members.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "group")
+    sets = _sets(members.select(F.col("rep").alias("doc_id")), docs, width, scratch, "group")
     held = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,18 +517,20 @@ def _group_links(large: DataFrame, docs: DataFrame, width: int, percent: int, sc
     links, depth = [], 0
     while True:
         per = rows.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("tokens")).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("v", "rep", "root")).alias("least"))
-        per = scratch.put(per.where("lo <> hi").select("list", "size", "held", F.col("least.v").alias("least"), F.col("least.rep").alias("hub"), F.col("least.root").alias("hub_root")), f"group-sizes-{depth}")
-        some = F.broadcast(per) if per.count() <= BROADCAST_BUCKETS else per
+        per = scratch.put(per.where("lo <> hi").select("list", "size", "held", F.col("least.v").alias("least"), F.col("least.root").alias("hub_root")), f"group-sizes-{depth}")
+        lists, longest = per.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
+        some = F.broadcast(per) if lists <= BROADCAST_BUCKETS else per
         must = F.greatest(F.lit(depth + 1), F.ceil((F.col("v") + F.col("least")) / whole)).cast("int")
         on = F.greatest(F.lit(0), F.size("tokens") - must + depth - F.col("at"))
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(8 * F.col("held") / BLOCK_BYTES)).cast("int")
         wide = scratch.put(rows.join(some, "list").withColumns({"on": on, "blocks": blocks}), f"group-wide-{depth}")
-        links.append(scratch.put(wide.where((F.col("v") + F.col("least") <= whole * depth) & (F.col("root") != F.col("hub_root"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), f"group-stars-{depth}"))
+        stars = wide.where((F.col("v") + F.col("least") <= whole * depth) & (F.col("root") != F.col("hub_root")))
+        links.append(scratch.put(stars.select(F.least("root", "hub_root").alias("a"), F.greatest("root", "hub_root").alias("b")), f"group-stars-{depth}"))
         fan = FAN * F.col("size") if not depth else F.lit(0)
-        goes = wide.groupBy("list", "size", "blocks").agg(F.sum("on").alias("on")).where((F.col("size") > BLOCK) & (F.col("on") <= F.greatest(fan, F.col("size") * F.col("blocks"))))
-        goes = scratch.put(goes.select("list"), f"group-goes-{depth}")
+        goes = wide.where(F.col("size") > BLOCK).groupBy("list", "size", "blocks").agg(F.sum("on").alias("on")).where(F.col("on") <= F.greatest(fan, F.col("size") * F.col("blocks")))
+        goes = scratch.put(goes.select("list"), f"group-goes-{depth}") if longest > BLOCK else rows.select("list").limit(0)
         some = F.broadcast(goes) if goes.count() <= BROADCAST_BUCKETS else goes
-        links.append(scratch.put(_list_links(wide.join(some, "list", "left_anti"), percent).distinct(), f"group-links-{depth}"))
+        links.append(scratch.put(_list_links(wide.join(some, "list", "left_anti"), percent), f"group-links-{depth}"))
         ahead = wide.join(some, "list", "left_semi").where("on > 0").withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("on"))))
         rows = scratch.put(ahead.select(F.xxhash64("list", F.get("tokens", "at")).alias("list"), "rep", "root", "v", "tokens", "at"), f"group-lists-{depth + 1}")
         scratch.drop(f"group-lists-{depth}", f"group-sizes-{depth}", f"group-wide-{depth}", f"group-goes-{depth}")
@@ -515,25 +538,25 @@ def _group_links(large: DataFrame, docs: DataFrame, width: int, percent: int, sc
         if rows.isEmpty():
             break
     found = scratch.put(reduce(DataFrame.unionByName, links).distinct(), "group-found")
-    scratch.drop("group-members", "group-ids", "group-sets", "group-common", "group-apart", f"group-lists-{depth}", *(f"group-{k}-{d}" for k in ("stars", "links") for d in range(depth)))
+    scratch.drop("group-best", "group-members", "group-ids", "group-sets", "group-common", "group-apart", f"group-lists-{depth}", *(f"group-{k}-{d}" for k in ("stars", "links") for d in range(depth)))
     return found
 
 
 def _list_links(wide: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different components on lists: list, rep, root, v, tokens and the list's number of blocks."""
+    """Links (a, b) of different components on lists: list, rep, root, v, tokens and the list's number of blocks."""
     parts = partitions(session(wide))
     key = ["list", "i", "j"]
     dealt = wide.withColumns({"block": F.pmod(F.xxhash64("rep"), "blocks").cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    dealt = dealt.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "root", "v", "tokens")
+    dealt = dealt.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "v", "tokens")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches, key):
             i, j = (rows.column(c)[0].as_py() for c in ("i", "j"))
-            block, rep, root, v = (rows.column(c).to_numpy() for c in ("block", "rep", "root", "v"))
+            block, root, v = (rows.column(c).to_numpy() for c in ("block", "root", "v"))
             if (root == root[0]).all() or (i != j and len({*block.tolist()}) < 2):
                 continue
             tokens = rows.column("tokens").combine_chunks()
-            row = np.repeat(np.arange(len(rep)), tokens.value_lengths().to_numpy())
+            row = np.repeat(np.arange(len(root)), tokens.value_lengths().to_numpy())
             _, place, times = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
             row, place = row[times[place] > 1], (np.cumsum(times > 1) - 1)[place[times[place] > 1]]
             order = np.argsort(place, kind="stable")
@@ -542,7 +565,7 @@ def _list_links(wide: DataFrame, percent: int) -> DataFrame:
             both = np.zeros((len(left), len(right)), dtype=np.float32)
             for at in range(0, int((times > 1).sum()), STRIP):
                 lo, hi = np.searchsorted(place, [at, at + STRIP])
-                strip = np.zeros((len(rep), STRIP), dtype=np.float32)
+                strip = np.zeros((len(root), STRIP), dtype=np.float32)
                 strip[row[lo:hi], place[lo:hi] - at] = 1
                 both += strip[left] @ strip[right].T
             good = (2 * (100 + percent) * both.astype(np.int64) >= v[left][:, None] + v[right][None, :]) & (root[left][:, None] != root[right][None, :])
@@ -555,11 +578,10 @@ def _list_links(wide: DataFrame, percent: int) -> DataFrame:
 
             found: list[tuple[int, int]] = []
             for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(good, 1) if i == j else good)), strict=True):
-                x, y = left[x], right[y]
-                a, b = find(int(root[x])), find(int(root[y]))
+                a, b = find(int(root[left[x]])), find(int(root[right[y]]))
                 if a != b:
                     up[max(a, b)] = min(a, b)
-                    found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                    found.append((min(a, b), max(a, b)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
         trim()
@@ -568,7 +590,7 @@ def _list_links(wide: DataFrame, percent: int) -> DataFrame:
 
 
 def _remainder(split: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join different components in the split buckets.
+    """Links (a, b) of different components in the split buckets.
 
     A bucket, of ``BLOCK`` members at most, is dealt into blocks by its bytes,
     and every pair of its blocks meets in one task.
@@ -589,7 +611,7 @@ def _remainder(split: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches):
-            rep, root = rows.column("rep").to_numpy(), rows.column("root").to_numpy()
+            root = rows.column("root").to_numpy()
             sets = [np.frombuffer(raw.as_buffer(), np.uint64) for raw in rows.column("shingles")]
             up: dict[int, int] = {}
 
@@ -609,15 +631,15 @@ def _remainder(split: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
                     both = int((sets[x][place] == sets[y]).sum())
                     if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                         up[max(a, b)] = min(a, b)
-                        found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                        found.append((min(a, b), max(a, b)))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     parts = partitions(spark)
     schema = "band int, value long, i int, j int, block int, rep long, root long, n long, bands array<long>"
     dealt = placed.select(*[c.split()[0] for c in schema.split(", ")]).repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
     hits = scratch.put(dealt.mapInArrow(compare, schema), "hits")
-    sets = _sets(hits.select(F.col("rep").alias("doc_id")).distinct(), docs, width, scratch, "hits")
+    sets = _sets(hits.select(F.col("rep").alias("doc_id")), docs, width, scratch, "hits")
     full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
-    links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long").distinct(), "rest-links")
+    links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long"), "rest-links")
     scratch.drop("hits", "hits-sets", "hits-ids")
     return links
