@@ -234,7 +234,7 @@ def _likely(met: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """(doc_id, shingles) of the documents in ``ids``, which may repeat: their full shingle sets, made anew from the texts."""
     if ids.count() > BROADCAST_IDS:
-        ids = scratch.put(ids.distinct(), f"{name}-ids")
+        ids = scratch.put(ids.distinct(), f"{name}-few")
     some = _few(ids)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +247,8 @@ def _sets(ids: DataFrame, docs: DataFrame, width: int, scratch: Scratch, name: s
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs whose full shingle sets reach the similarity; repeats stay."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width, scratch, name)
+    ids = scratch.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")  # hubs repeat often
+    sets = _sets(ids, docs, width, scratch, name)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +263,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch
     for side in ("b", "a"):
         wide = wide.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     links = scratch.put(wide.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets", f"{name}-ids")
+    scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-few")
     return links
 
 
@@ -538,7 +539,7 @@ def _group_links(large: DataFrame, docs: DataFrame, width: int, percent: int, sc
         if rows.isEmpty():
             break
     found = scratch.put(reduce(DataFrame.unionByName, links).distinct(), "group-found")
-    scratch.drop("group-best", "group-members", "group-ids", "group-sets", "group-common", "group-apart", f"group-lists-{depth}", *(f"group-{k}-{d}" for k in ("stars", "links") for d in range(depth)))
+    scratch.drop("group-best", "group-members", "group-few", "group-sets", "group-common", "group-apart", f"group-lists-{depth}", *(f"group-{k}-{d}" for k in ("stars", "links") for d in range(depth)))
     return found
 
 
@@ -641,5 +642,5 @@ def _remainder(split: DataFrame, reps: DataFrame, docs: DataFrame, width: int, p
     sets = _sets(hits.select(F.col("rep").alias("doc_id")), docs, width, scratch, "hits")
     full = hits.join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition(parts, *_KEY).sortWithinPartitions(*_KEY)
     links = scratch.put(full.select(*hits.columns, "shingles").mapInArrow(confirm, "a long, b long"), "rest-links")
-    scratch.drop("hits", "hits-sets", "hits-ids")
+    scratch.drop("hits", "hits-sets", "hits-few")
     return links
